@@ -1,0 +1,6 @@
+"""The registered queries over the search engine's operators, each with the same query as SQL where SQL can express it."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
