@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("language_id", "word_bpe", "quality", "packing")
+_MODULES = ("language_id", "word_bpe", "jaccard_join", "quality", "packing")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
