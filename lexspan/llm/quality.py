@@ -30,12 +30,12 @@ RANK = 48
 NEIGHBOURS = 15
 POWER = 8
 #: Labelled documents that the classifier is fitted on, at most (in expectation): a bounded sample by hash of id, by label.
-SAMPLE_PER_LABEL = 2000
+SAMPLE_PER_LABEL = 1500
 THRESHOLD = 0.3
 BLOCK = 1 << 18
 SHARES = 4
 SHARE_WEIGHT = 3.0
-ROWS = 2048
+ROWS = 512
 SCHEMA = "score double"
 
 
@@ -75,11 +75,21 @@ _KIND = np.array([1 if chr(c).isupper() else 2 if not (chr(c).isalnum() or chr(c
 
 def matrix(texts: list[str | None]) -> np.ndarray:
     """One row per text: the trigrams, then the shares, which weigh SHARE_WEIGHT times the trigrams' length at most."""
-    if not texts:
-        return np.zeros((0, (1 << BITS) + SHARES), np.float32)
-    grams = np.log1p(np.stack([features(t) for t in texts])).astype(np.float32)
-    size = np.linalg.norm(grams, axis=1, keepdims=True)
-    return np.hstack((grams, np.array([shares(t) for t in texts], np.float32) * size * SHARE_WEIGHT))
+    out = np.zeros((len(texts), (1 << BITS) + SHARES), np.float32)
+    for row, text in zip(out, texts):
+        row[:-SHARES] = np.log1p(features(text), dtype=np.float32)
+        row[-SHARES:] = np.array(shares(text), np.float32) * np.linalg.norm(row[:-SHARES]) * SHARE_WEIGHT
+    return out
+
+
+def leading_axes(x: np.ndarray, rank: int, rounds: int = 8) -> np.ndarray:
+    """The leading right singular vectors of x by subspace iteration, in memory of a few of x's columns."""
+    q = np.linalg.qr(np.random.default_rng(7).standard_normal((x.shape[1], rank + 16)).astype(np.float32))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    y = x @ q
+    _, turn = np.linalg.eigh(y.T @ y)
+    return (q @ turn[:, ::-1][:, :rank]).astype(np.float32)
 
 
 @dataclass
@@ -120,9 +130,7 @@ def fit(texts: list[str | None], labels: list[int], rate: float | None = None) -
         return Model(np.zeros((1 << BITS) + SHARES, np.float32), np.zeros(((1 << BITS) + SHARES, 0), np.float32), np.zeros((0, 0), np.float32), y, base)
     weight = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     weight[-SHARES:] = 1
-    weighted = x * weight
-    _, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))  # eigenvectors of the Gram matrix are the right singular vectors
-    model = Model(weight, vectors[:, ::-1][:, :RANK].astype(np.float32), np.zeros((0, 0), np.float32), y, base)
+    model = Model(weight, leading_axes(x * weight, RANK), np.zeros((0, 0), np.float32), y, base)
     model.vectors = model.project(x).astype(np.float32)
     return model
 

@@ -30,6 +30,7 @@ from ._spark import table
 MODEL = "word_bpe_49k.json"
 LIMIT = 2048
 CACHE = 400_000
+SLOTS = 1 << 18
 BATCH_CHARS = 1 << 20
 #: White space as Unicode defines it; Python's own also has U+001C to U+001F.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -66,16 +67,45 @@ class RankedMerges:
         self.inner = np.array([vocab[c] for c in chars], dtype=np.int64)
         self.final = np.array([vocab[c + suffix] for c in chars], dtype=np.int64)
         keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in merges], dtype=np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank = keys[order], order.astype(np.int64)
+        self._index(keys)
         self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         self.size = len(merges)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
 
+    def _index(self, keys: np.ndarray) -> None:
+        """An open-addressing table from pair to rank, with the slots after the home slot probed in turn."""
+        self.slot_key, self.slot_rank = np.full(SLOTS, -1, dtype=np.int64), np.full(SLOTS, len(keys), dtype=np.int64)
+        left, self.probes = np.arange(len(keys)), 0
+        while len(left):
+            slot = (self._home(keys[left]) + self.probes) & (SLOTS - 1)
+            free = self.slot_key[slot] == -1
+            _, first = np.unique(slot, return_index=True)
+            lucky = np.zeros(len(left), dtype=bool)
+            lucky[first] = True
+            lucky &= free
+            self.slot_key[slot[lucky]], self.slot_rank[slot[lucky]] = keys[left[lucky]], left[lucky]
+            left = left[~lucky]
+            self.probes += 1
+
+    @staticmethod
+    def _home(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left << 32) | right
-        at = np.minimum(np.searchsorted(self.keys, key), self.size - 1)
-        return np.where(self.keys[at] == key, self.rank[at], self.size)
+        slot = self._home(key)
+        found = self.slot_key[slot]
+        out = np.where(found == key, self.slot_rank[slot], self.size)
+        going = np.flatnonzero((found != key) & (found != -1))
+        for probe in range(1, self.probes):
+            if not len(going):
+                break
+            slot_on = (slot[going] + probe) & (SLOTS - 1)
+            found = self.slot_key[slot_on]
+            hit = found == key[going]
+            out[going[hit]] = self.slot_rank[slot_on[hit]]
+            going = going[~hit & (found != -1)]
+        return out
 
     def encode(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The token ids of all pre-tokens in order, and how many each has."""
