@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("language_id", "word_bpe", "jaccard_join", "substring_dedup", "metric_search", "vector_join", "html_text", "quality", "packing")
+_MODULES = ("language_id", "word_bpe", "jaccard_join", "substring_dedup", "metric_search", "vector_join", "html_text", "quality", "packing", "unigram")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
