@@ -1,6 +1,473 @@
-"""The registered queries over the search engine's operators, each with the same query as SQL where SQL can express it."""
+"""The registered queries over the search engine's operators, each with the same query as SQL where SQL can express it.
+
+Queries run over whole tables.  Operators on CJK text run over literal rows, as
+the tables hold none.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import chunking, columns, snippets
+from ..operators import corpus, gate, index, listing, search, sync
+from .search_plan import build_plan
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+QUERY = '"of the" thea tionble enten and'
+AS_OF = "2024-02-01 00:00:00"
+
+_DOCS = """
+docs AS (
+  SELECT d.doc_id, '/' || d.source || '/' || d.lang || '/doc_' || d.doc_id || '.txt' AS path,
+         d.source || '/' || d.lang || '/doc_' || d.doc_id || '.txt' AS rel, d.source || '/' || d.lang AS dir,
+         'doc_' || d.doc_id || '.txt' AS name, '.txt' AS ext, 'text' AS kind,
+         CASE WHEN l.toxic IS NULL THEN 'metadata' ELSE 'native' END AS text_source,
+         CASE WHEN l.toxic IS NULL THEN 'metadata' WHEN l.toxic = 1 THEN 'error' ELSE 'indexed' END AS status,
+         e.ts AS mtime, CAST(strlen(d.text) AS BIGINT) AS size, CAST(length(d.text) AS BIGINT) AS chars, d.text
+  FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
+)"""
+_CHUNKS = (
+    _DOCS
+    + """, chunks AS (
+  SELECT doc_id * 1000000 + i - 1 AS chunk_id, doc_id, CAST(i - 1 AS INTEGER) AS ord, '' AS heading, trim(line) AS text, rel, name, dir, ext, mtime
+  FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs)
+  WHERE trim(line) <> ''
+)"""
+)
+_TOKENS = r"list_filter(list_distinct(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')), lambda t: length(t) <= 64)"
+
+
+def _tokens_sql(c: str) -> str:
+    return _TOKENS.format(c=c)
+
+
+_FIELDS = (
+    _CHUNKS
+    + f""", fields AS (
+  SELECT *, {_tokens_sql("text")} AS t_text, {_tokens_sql("heading")} AS t_heading, {_tokens_sql("concat_ws(' ', rel, name)")} AS t_path FROM chunks
+), sized AS (SELECT *, len(t_text) + len(t_heading) + len(t_path) AS dl FROM fields)"""
+)
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.docs(spark, sf)
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Line chunks with the columns of their document."""
+    return corpus.line_chunks(_docs(spark, sf), ["rel", "name", "dir", "ext", "mtime"])
+
+
+# Projections, statistics, listings
+
+
+@query("docs_projection", f"WITH {_DOCS} SELECT doc_id, path, rel, dir, name, ext, kind, text_source, status, size, chars FROM docs")
+def docs_projection(spark, sf):
+    return _docs(spark, sf).select("doc_id", "path", "rel", "dir", "name", "ext", "kind", "text_source", "status", "size", "chars")
+
+
+@query("chunk_lines", f"WITH {_CHUNKS} SELECT chunk_id, doc_id, ord, text FROM chunks")
+def chunk_lines(spark, sf):
+    return corpus.line_chunks(corpus.read(spark, sf, "documents")).select("chunk_id", "doc_id", "ord", "text")
+
+
+@query("char_start", f"WITH {_CHUNKS} SELECT chunk_id, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM chunks")
+def char_start(spark, sf):
+    return corpus.char_starts(corpus.line_chunks(corpus.read(spark, sf, "documents"))).select("chunk_id", "char_start")
+
+
+@query("stats_totals", f"WITH {_DOCS} SELECT count(*) AS docs, CAST(coalesce(sum(chars), 0) AS BIGINT) AS chars FROM docs")
+def stats_totals(spark, sf):
+    return listing.totals(_docs(spark, sf))
+
+
+@query("stats_by_status", f"WITH {_DOCS} SELECT status, count(*) AS n FROM docs GROUP BY 1")
+def stats_by_status(spark, sf):
+    return listing.count_by(_docs(spark, sf), "status")
+
+
+@query("stats_by_ext", f"WITH {_DOCS} SELECT ext, count(*) AS n, CAST(coalesce(sum(chars), 0) AS BIGINT) AS chars FROM docs GROUP BY 1")
+def stats_by_ext(spark, sf):
+    return listing.count_by(_docs(spark, sf), "ext", chars=True)
+
+
+@query("stats_by_source", f"WITH {_DOCS} SELECT text_source, count(*) AS n FROM docs GROUP BY 1")
+def stats_by_source(spark, sf):
+    return listing.count_by(_docs(spark, sf), "text_source")
+
+
+@query("stats_failures", f"WITH {_DOCS} SELECT doc_id, rel, status FROM docs WHERE status IN ('error', 'needs_ocr', 'needs_conversion') ORDER BY mtime DESC, doc_id LIMIT 50")
+def stats_failures(spark, sf):
+    return listing.failures(_docs(spark, sf)).select("doc_id", "rel", "status")
+
+
+@query("list_dir_d1", f"WITH {_DOCS} SELECT split_part(dir, '/', 1) AS dir, count(*) AS files, CAST(coalesce(sum(chars), 0) AS BIGINT) AS chars FROM docs GROUP BY 1")
+def list_dir_d1(spark, sf):
+    return listing.list_dirs(_docs(spark, sf), "", 1)
+
+
+@query("list_dir_d2", f"WITH {_DOCS} SELECT dir, count(*) AS files, CAST(coalesce(sum(chars), 0) AS BIGINT) AS chars FROM docs GROUP BY 1")
+def list_dir_d2(spark, sf):
+    return listing.list_dirs(_docs(spark, sf), "", 2)
+
+
+@query("list_dir_below", f"WITH {_DOCS} SELECT dir, count(*) AS files, CAST(coalesce(sum(chars), 0) AS BIGINT) AS chars FROM docs WHERE starts_with(dir, 'src1/') GROUP BY 1")
+def list_dir_below(spark, sf):
+    return listing.list_dirs(_docs(spark, sf), "./src1/", 3)
+
+
+@query("list_files_filter", f"WITH {_DOCS} SELECT rel, name, size, chars, status FROM docs WHERE dir = 'src1/en' AND (contains(lower(name), 'doc_1') OR contains(lower(rel), 'doc_1'))")
+def list_files_filter(spark, sf):
+    return listing.list_files(_docs(spark, sf), "src1/en", "DOC_1").select("rel", "name", "size", "chars", "status")
+
+
+@query("find_document", f"WITH {_DOCS} SELECT doc_id, rel FROM docs WHERE name = 'doc_17.txt'")
+def find_document(spark, sf):
+    return listing.find_document(_docs(spark, sf), "doc_17.txt").select("doc_id", "rel")
+
+
+@query("source_labels", f"WITH {_DOCS} SELECT CASE text_source WHEN 'metadata' THEN 'metadata only' ELSE 'native text' END AS label, count(*) AS n FROM docs GROUP BY 1")
+def source_labels(spark, sf):
+    return _docs(spark, sf).groupBy(columns.source_label(F.col("text_source")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("human_sizes", f"WITH {_DOCS} SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' ELSE printf('%.1f', CAST(size AS DECIMAL(18,0)) / 1024.0) || ' KB' END AS shown FROM docs WHERE size < 1024")
+def human_sizes(spark, sf):
+    return _docs(spark, sf).where("size < 1024").select("doc_id", columns.human_size(F.col("size")).alias("shown"))
+
+
+@query("read_text", f"WITH {_CHUNKS} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text FROM chunks GROUP BY 1")
+def read_text(spark, sf):
+    return listing.read_text(corpus.line_chunks(corpus.read(spark, sf, "documents")))
+
+
+@query("read_gate", f"WITH {_CHUNKS}, t AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text FROM chunks GROUP BY 1) SELECT d.doc_id, d.status, CASE WHEN d.status = 'metadata' THEN '' ELSE coalesce(substring(t.text, 101, 200), '') END AS text FROM docs d LEFT JOIN t USING (doc_id)")
+def read_gate(spark, sf):
+    return listing.readable(_docs(spark, sf), read_text(spark, sf), 100, 200).select("doc_id", "status", "text")
+
+
+# Filters
+
+
+@query("filter_dir", f"WITH {_DOCS} SELECT doc_id, rel FROM docs WHERE dir = 'src1' OR starts_with(dir, 'src1/')")
+def filter_dir(spark, sf):
+    return corpus.filtered(_docs(spark, sf), dir="./src1/").select("doc_id", "rel")
+
+
+@query("filter_ext", f"WITH {_DOCS} SELECT doc_id FROM docs WHERE ext IN ('.txt', '.md')")
+def filter_ext(spark, sf):
+    return corpus.filtered(_docs(spark, sf), ext="TXT, .md").select("doc_id")
+
+
+@query("filter_days", f"WITH {_DOCS} SELECT doc_id FROM docs WHERE mtime >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY")
+def filter_days(spark, sf):
+    return corpus.filtered(_docs(spark, sf), days=20, as_of=AS_OF).select("doc_id")
+
+
+@query("like_escape", "SELECT doc_id FROM documents WHERE contains(text, '%')")
+def like_escape(spark, sf):
+    return corpus.read(spark, sf, "documents").where(columns.contains_folded(F.col("text"), "%")).select("doc_id")
+
+
+@query("kind_of", """SELECT * FROM (VALUES (0, 'docx'), (1, 'image'), (2, 'text'), (3, 'legacy-xls'), (4, 'binary'), (5, 'pdf')) AS t(id, kind)""")
+def kind_of(spark, sf):
+    return _rows(spark, ".DOCX", ".jpeg", ".md", ".xls", ".dwg", ".pdf").select("id", columns.kind_of(F.col("text")).alias("kind"))
+
+
+# Index
+
+
+@query("token_distinct", f"SELECT doc_id, CAST(len({_tokens_sql('text')}) AS INTEGER) AS n FROM documents")
+def token_distinct(spark, sf):
+    return corpus.read(spark, sf, "documents").select("doc_id", F.size(columns.tokens(F.col("text"))).alias("n"))
+
+
+@query("postings", f"WITH {_FIELDS}, t AS (SELECT chunk_id, dl, t_text, t_heading, t_path, unnest(list_distinct(list_concat(list_concat(t_text, t_heading), t_path))) AS term FROM sized) SELECT chunk_id, term, CAST((CASE WHEN list_contains(t_text, term) THEN 4.0 ELSE 0 END) + (CASE WHEN list_contains(t_heading, term) THEN 2.0 ELSE 0 END) + (CASE WHEN list_contains(t_path, term) THEN 1.5 ELSE 0 END) AS DOUBLE) AS weight, CAST(dl AS INTEGER) AS dl FROM t")
+def postings(spark, sf):
+    return index.postings(_chunks(spark, sf)).select("chunk_id", "term", "weight", "dl")
+
+
+@query("doc_freq", f"WITH {_FIELDS} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(list_concat(list_concat(t_text, t_heading), t_path))) AS term FROM sized) GROUP BY 1")
+def doc_freq(spark, sf):
+    return index.document_frequencies(index.postings(_chunks(spark, sf)))
+
+
+@query("chunk_len", f"WITH {_FIELDS} SELECT chunk_id, CAST(dl AS INTEGER) AS dl FROM sized")
+def chunk_len(spark, sf):
+    return index.fields(_chunks(spark, sf)).select("chunk_id", "dl")
+
+
+# Search
+
+_PLAN = build_plan(QUERY)
+_T = _PLAN.word_terms
+
+
+def _weight_sql(t: str) -> str:
+    return f"(CASE WHEN list_contains(t_text, '{t}') THEN 4.0::DOUBLE ELSE 0 END + CASE WHEN list_contains(t_heading, '{t}') THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN list_contains(t_path, '{t}') THEN 1.5::DOUBLE ELSE 0 END)"
+
+
+def _bm25_sql(where: str = "true") -> str:
+    dfs = ", ".join(f"count(*) FILTER (WHERE {_weight_sql(t)} > 0) AS df{i}" for i, t in enumerate(_T))
+    part = " + ".join(f"greatest(ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)), 1e-6) * {_weight_sql(t)} * 2.2::DOUBLE / ({_weight_sql(t)} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for i, t in enumerate(_T))
+    some = " OR ".join(f"{_weight_sql(t)} > 0" for t in _T)
+    return f"""stats AS (SELECT count(*) AS n, avg(dl) AS avgdl, {dfs} FROM sized),
+best AS (SELECT chunk_id, round({part}, 6) AS bm25 FROM sized, stats WHERE ({some}) AND ({where}) ORDER BY bm25 DESC, chunk_id LIMIT 80),
+a AS (SELECT chunk_id, bm25, CAST(row_number() OVER (ORDER BY bm25 DESC, chunk_id) - 1 AS INTEGER) AS rank_a FROM best)"""
+
+
+def _substring_sql(where: str = "true") -> str:
+    terms = " UNION ALL ".join(f"SELECT chunk_id, {i} AS term_idx FROM chunks WHERE contains(lower(text), '{t.lower()}') AND ({where})" for i, t in enumerate(_PLAN.contained))
+    return f"""found AS ({terms}),
+listed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term_idx ORDER BY chunk_id) AS pos FROM found) WHERE pos <= 80),
+b AS (SELECT chunk_id, CAST(min(term_idx) AS INTEGER) AS term_idx, CAST(arg_min(pos, term_idx) - 1 AS INTEGER) AS rank_b FROM listed GROUP BY 1)"""
+
+
+def _fused_sql(where: str = "true", limit: int = 8, per_doc: int = 3) -> str:
+    phrases = " + ".join(f"CASE WHEN contains(lower(text), '{p.lower()}') THEN 0.02::DOUBLE ELSE 0 END" for p in _PLAN.phrases) or "0"
+    every = " AND ".join(f"contains(lower(text), '{t.lower()}')" for t in _PLAN.terms)
+    some = " OR ".join(f"contains(lower(heading || ' ' || rel), '{t.lower()}')" for t in _PLAN.terms)
+    order = "score DESC, rank_a ASC NULLS LAST, term_idx ASC NULLS LAST, rank_b ASC NULLS LAST, chunk_id"
+    return f"""{_bm25_sql(where)}, {_substring_sql(where)},
+fused AS (
+  SELECT c.*, rank_a, term_idx, rank_b, round(coalesce(1.0::DOUBLE / (61 + rank_a), 0) + coalesce(1.0::DOUBLE / (61 + rank_b), 0) + {phrases}
+    + CASE WHEN {every} THEN 0.012::DOUBLE ELSE 0 END + CASE WHEN {some} THEN 0.008::DOUBLE ELSE 0 END - CASE WHEN length(text) > 1600 THEN 0.004::DOUBLE ELSE 0 END, 6) AS score
+  FROM a FULL OUTER JOIN b USING (chunk_id) JOIN chunks c USING (chunk_id)
+),
+capped AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS in_doc FROM fused),
+hits AS (SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank FROM (SELECT * FROM capped WHERE in_doc <= {per_doc} ORDER BY {order} LIMIT {limit}))"""
+
+
+@query("bm25_topk", f"WITH {_FIELDS}, {_bm25_sql()} SELECT chunk_id, bm25, rank_a FROM a")
+def bm25_topk(spark, sf):
+    return search.word_ranks(_chunks(spark, sf), _PLAN)
+
+
+@query("substring_rank", f"WITH {_CHUNKS}, {_substring_sql()} SELECT chunk_id, term_idx, rank_b FROM b")
+def substring_rank(spark, sf):
+    return search.substring_ranks(_chunks(spark, sf), _PLAN)
+
+
+@query("rrf_search", f"WITH {_FIELDS}, {_fused_sql()} SELECT rank, chunk_id, doc_id, rel, score FROM hits")
+def rrf_search(spark, sf):
+    return search.search(_chunks(spark, sf), _PLAN).select("rank", "chunk_id", "doc_id", "rel", "score")
+
+
+_WHERE = f"(dir = 'src1' OR starts_with(dir, 'src1/')) AND ext IN ('.txt') AND mtime >= TIMESTAMP '{AS_OF}' - INTERVAL 400 DAY"
+
+
+@query("rrf_search_filtered", f"WITH {_FIELDS}, {_fused_sql(_WHERE, 20, 1)} SELECT rank, chunk_id, doc_id, rel, score FROM hits")
+def rrf_search_filtered(spark, sf):
+    filters = search.Filters("src1", (".txt",), 400, AS_OF)
+    return search.search(_chunks(spark, sf), _PLAN, 20, 1, filters).select("rank", "chunk_id", "doc_id", "rel", "score")
+
+
+@query("group_hits", f"WITH {_FIELDS}, {_fused_sql('true', 30, 10)} SELECT doc_id, rank, more FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) - 1 AS more, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS n FROM hits) WHERE n = 1")
+def group_hits(spark, sf):
+    return search.group_hits(search.search(_chunks(spark, sf), _PLAN, 30, 10)).select("doc_id", "rank", "more")
+
+
+@query("phrase_bonus", f"WITH {_CHUNKS} SELECT chunk_id, CASE WHEN contains(lower(text), 'of the') THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM chunks")
+def phrase_bonus(spark, sf):
+    return corpus.line_chunks(corpus.read(spark, sf, "documents")).select("chunk_id", F.when(columns.contains_folded(F.col("text"), "of the"), search.PHRASE).otherwise(0.0).alias("bonus"))
+
+
+@query("snippets")
+def snippet_query(spark, sf):
+    hits = search.search(_chunks(spark, sf), _PLAN)
+    return hits.select("rank", "chunk_id", snippets.snippets([*_PLAN.phrases, *_PLAN.terms])("text").alias("snippet"))
+
+
+# Chunker
+
+
+@query("chunker")
+def chunker(spark, sf):
+    d = corpus.read(spark, sf, "documents").select("doc_id", F.explode(chunking.chunker()("text")).alias("c"))
+    return d.select("doc_id", "c.ord", "c.heading", "c.page", "c.text")
+
+
+@query("chunk_health", f"WITH {_CHUNKS} SELECT count(*) AS chunks, round(avg(length(text)), 4) AS mean, CAST(min(length(text)) AS INTEGER) AS least, CAST(max(length(text)) AS INTEGER) AS most, count(*) FILTER (WHERE length(text) < 120) AS under_120, count(*) FILTER (WHERE length(text) > 1200) AS over_1200, count(*) FILTER (WHERE length(text) > 1800) AS over_1800, count(*) FILTER (WHERE length(text) > 2700) AS over_2700, count(*) FILTER (WHERE length(text) > 5000) AS over_5000 FROM chunks")
+def chunk_health(spark, sf):
+    return listing.chunk_health(corpus.line_chunks(corpus.read(spark, sf, "documents")))
+
+
+@query("doc_health", f"WITH {_CHUNKS} SELECT doc_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) = 1 AS single FROM chunks GROUP BY 1")
+def doc_health(spark, sf):
+    return listing.doc_health(corpus.line_chunks(corpus.read(spark, sf, "documents")))
+
+
+# Sync: the index lacks every seventh document, has two that are gone and another size for every fifth
+
+_DISK = _DOCS + ", disk AS (SELECT path, rel, size, mtime FROM docs), idx AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN size + 1 ELSE size END AS size, mtime FROM docs WHERE doc_id % 7 <> 0 UNION ALL SELECT '/gone/1.txt', 1, NULL UNION ALL SELECT '/gone/2.txt', 2, NULL)"
+_CHANGE = "CASE WHEN i.path IS NULL THEN 'added' WHEN d.path IS NULL THEN 'removed' WHEN d.size IS DISTINCT FROM i.size OR d.mtime IS DISTINCT FROM i.mtime THEN 'updated' ELSE 'unchanged' END"
+_DIFF = _DISK + f", diff AS (SELECT coalesce(d.path, i.path) AS path, {_CHANGE} AS change FROM disk d FULL OUTER JOIN idx i ON d.path = i.path)"
+
+
+def _states(spark, sf):
+    d = _docs(spark, sf)
+    old = d.where("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime")
+    gone = spark.range(1, 3).select(F.concat(F.lit("/gone/"), "id", F.lit(".txt")).alias("path"), F.col("id").alias("size"), F.lit(None).cast(d.schema["mtime"].dataType).alias("mtime"))
+    return d.select("path", "rel", "size", "mtime"), old.union(gone)
+
+
+@query("sync_diff", f"WITH {_DIFF} SELECT path, change FROM diff")
+def sync_diff(spark, sf):
+    return sync.diff(*_states(spark, sf))
+
+
+@query("sync_counters", f"WITH {_DIFF} SELECT count(*) FILTER (WHERE change <> 'removed') AS scanned, count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'updated') AS updated, count(*) FILTER (WHERE change = 'images') AS images, count(*) FILTER (WHERE change = 'unchanged') AS unchanged, count(*) FILTER (WHERE change = 'removed') AS removed FROM diff")
+def sync_counters(spark, sf):
+    return sync.counters(sync_diff(spark, sf))
+
+
+@query("stale_counts", f"WITH {_DIFF} SELECT count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'updated') AS changed, count(*) FILTER (WHERE change = 'removed') AS removed FROM diff")
+def stale_counts(spark, sf):
+    return sync.stale(*_states(spark, sf))
+
+
+@query("retry_subset", f"WITH {_DIFF} SELECT f.path, CASE WHEN f.change = 'removed' THEN 'removed' WHEN d.rel LIKE 'src2/%' AND f.change = 'unchanged' THEN 'updated' WHEN d.rel LIKE 'src2/%' THEN f.change ELSE 'unchanged' END AS change FROM diff f LEFT JOIN disk d ON d.path = f.path")
+def retry_subset(spark, sf):
+    disk, old = _states(spark, sf)
+    only = disk.where(F.startswith("rel", F.lit("src2/"))).select(F.col("rel").alias("key"))
+    return sync.restricted(sync.diff(disk, old), disk, only)
+
+
+@query("upsert", f"WITH {_DISK} SELECT path, size FROM idx WHERE path NOT IN (SELECT path FROM docs WHERE doc_id % 3 = 0) UNION ALL SELECT path, size FROM docs WHERE doc_id % 3 = 0")
+def upsert(spark, sf):
+    new = _docs(spark, sf).where("doc_id % 3 = 0").select("path", "size")
+    return sync.upsert(_states(spark, sf)[1].select("path", "size"), new)
+
+
+@query("delete_docs", f"WITH {_DISK} SELECT path FROM idx WHERE path NOT IN (SELECT path FROM docs WHERE doc_id % 3 = 0)")
+def delete_docs(spark, sf):
+    gone = _docs(spark, sf).where("doc_id % 3 = 0").select("path")
+    return sync.delete(_states(spark, sf)[1].select("path"), gone)
+
+
+@query("route_files", f"WITH {_DOCS} SELECT doc_id, CASE WHEN size > 3000 OR NOT regexp_matches(rel, '^src.*[.]txt$') THEN 'metadata' ELSE 'extract' END AS route FROM docs")
+def route_files(spark, sf):
+    return sync.routed(_docs(spark, sf), r"^src.*[.]txt$", 3000).select("doc_id", "route")
+
+
+@query("metadata_chunk", f"WITH {_DOCS} SELECT doc_id, rel || chr(10) || name || chr(10) || kind || chr(10) || greatest(1, CAST(floor(size / 1024.0 + 0.5) AS BIGINT)) || ' KB' AS text FROM docs")
+def metadata_chunk(spark, sf):
+    return _docs(spark, sf).select("doc_id", sync.metadata_text().alias("text"))
+
+
+@query("log_retention", "SELECT event_id AS id, event_type AS message FROM events ORDER BY event_id DESC LIMIT 500")
+def log_retention(spark, sf):
+    e = corpus.read(spark, sf, "events").select(F.col("event_id").alias("id"), "ts", F.lit("info").alias("level"), F.col("event_type").alias("message"), F.col("props").alias("details"))
+    return sync.append_log(e.where("id % 2 = 0"), e.where("id % 2 = 1")).select("id", "message")
+
+
+@query("latest_session", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS n FROM conversations) WHERE n = 1")
+def latest_session(spark, sf):
+    return sync.latest(corpus.read(spark, sf, "conversations"), "conv_id", [F.desc("turn"), F.asc("role")]).select("conv_id", "turn", "role")
+
+
+@query("ocr_cache_lookup", "WITH c AS (SELECT DISTINCT sha1(text) AS sha1, CASE WHEN strlen(text) % 2 = 0 THEN text ELSE ' ' END AS cached FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL) SELECT d.doc_id, CASE WHEN c.sha1 IS NULL THEN 'pending' WHEN trim(cached) <> '' THEN 'cached' ELSE 'dropped' END AS state FROM documents d LEFT JOIN c ON sha1(d.text) = c.sha1")
+def ocr_cache_lookup(spark, sf):
+    d = corpus.read(spark, sf, "documents").select("doc_id", "text", F.sha1(F.col("text").cast("binary")).alias("sha1"))
+    cache = d.where("doc_id % 3 <> 0 and text is not null").select("sha1", F.when(F.octet_length("text") % 2 == 0, F.col("text")).otherwise(" ").alias("text")).distinct()
+    return sync.cache_lookup(d, cache).select("doc_id", "state")
+
+
+@query("content_sha1", "SELECT doc_id, sha1(text) AS sha1 FROM documents")
+def content_sha1(spark, sf):
+    return corpus.read(spark, sf, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("sha1"))
+
+
+# Gate
+
+
+@query("gate_clauses", "SELECT conv_id, turn, CAST(len(list_filter(list_transform(regexp_split_to_array(lower(text), '[。！？!?；;\\n，,、]+'), lambda p: trim(p)), lambda p: p <> '')) AS INTEGER) AS n FROM conversations")
+def gate_clauses(spark, sf):
+    return corpus.read(spark, sf, "conversations").select("conv_id", "turn", F.size(columns.clauses(F.col("text"))).alias("n"))
+
+
+@query("last_turn_text", "WITH s AS (SELECT conv_id, max(turn) FILTER (WHERE role = 'assistant') AS start FROM conversations GROUP BY 1) SELECT c.conv_id AS session_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations c JOIN s USING (conv_id) WHERE turn > coalesce(start, -1) AND role = 'user' AND text IS NOT NULL GROUP BY 1")
+def last_turn_text(spark, sf):
+    c = corpus.read(spark, sf, "conversations")
+    kind = F.when(F.col("role") == "assistant", "turn/start").otherwise("user/message")
+    return gate.last_turn_text(c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"), kind.alias("type"), F.col("role").alias("source"), "text"))
+
+
+@query("path_triggers", f"WITH {_DOCS} SELECT DISTINCT lower(n) AS name FROM (SELECT unnest([name, split_part(dir, '/', 1), split_part(dir, '/', 2)]) AS n FROM docs) WHERE length(n) >= 3")
+def path_triggers(spark, sf):
+    return gate.path_names(_docs(spark, sf))
+
+
+@query("gate_triggers", "SELECT conv_id, turn, len(list_filter(regexp_split_to_array(lower(text), '[。！？!?；;\\n，,、]+'), lambda c: contains(c, 'the'))) > 0 AS asked FROM conversations WHERE NOT regexp_matches(lower(text), 'no\\b|don''t|dont|do not|without|disable')")
+def gate_triggers(spark, sf):
+    c = corpus.read(spark, sf, "conversations").where(~F.lower("text").rlike(r"no\b|don't|dont|do not|without|disable"))
+    return c.select("conv_id", "turn", gate.has_trigger(F.col("text"), ("the",)).alias("asked"))
+
+
+# Text functions on literal rows
+
+
+def _rows(spark, *texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+
+
+def _values(*rows) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(str(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows) + ")"
+
+
+@query("cjk_bigrams", _values((0, "袋线,线瓶,瓶线"), (1, ""), (2, "追溯")) + " AS t(id, grams)")
+def cjk_bigrams(spark, sf):
+    return _rows(spark, "袋线瓶线", "GS1", "追溯 code").select("id", F.array_join(columns.cjk_bigrams(F.col("text")), ",").alias("grams"))
+
+
+@query("ocr_cleanup", _values((0, "产线追溯系统 GS1 标准"), (1, "a b")) + " AS t(id, text)")
+def ocr_cleanup(spark, sf):
+    return _rows(spark, "产 线 追 溯 系统 GS1 标准", "  a  b ").select("id", columns.ocr_cleanup(F.col("text")).alias("text"))
+
+
+@query("heading_level", _values((0, 1), (1, 2), (2, 2), (3, 2), (4, 0), (5, 0), (6, 2)) + " AS t(id, level)")
+def heading_level(spark, sf):
+    return _rows(spark, "# 一级标题", "一、总体要求", "（三）具体实施", "2.1.3 接口定义", "普通正文，没有编号。", "", "第三章 总则").select("id", columns.heading_level(F.col("text")).alias("level"))
+
+
+@query("highlight_terms", _values((0, "tracecode|字段")) + " AS t(id, terms)")
+def highlight_terms(spark, sf):
+    return _rows(spark, "字段，tracecode a").select("id", F.array_join(columns.highlight_terms(F.col("text")), "|").alias("terms"))
+
+
+@query("nfkc_fold", _values((0, "GS1"), (1, "(3)")) + " AS t(id, text)")
+def nfkc_fold(spark, sf):
+    return _rows(spark, "ＧＳ１", "（３）").select("id", columns.nfkc(F.col("text")).alias("text"))
+
+
+@query("sync_intent", _values((0, True), (1, True), (2, False), (3, False)) + " AS t(id, wanted)")
+def sync_intent(spark, sf):
+    return _rows(spark, "同步一下知识库", "重建索引", "不要同步知识库", "查资料").select("id", gate.wants_sync(F.col("text")).alias("wanted"))
+
+
+@query("trigger_denial", _values((0, True), (1, True), (2, False), (3, False), (4, False)) + " AS t(id, asked)")
+def trigger_denial(spark, sf):
+    return _rows(spark, "用知识库查一下追溯", "/kb GS1", "这次不要用知识库，直接回答", "知识库先别用了", "写一首诗").select("id", gate.has_trigger(F.col("text")).alias("asked"))
+
+
+@query("html_escape", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS text FROM pages")
+def html_escape(spark, sf):
+    return corpus.read(spark, sf, "pages").select("page_id", columns.html_escape(F.col("html")).alias("text"))
+
+
+@query("excel_dates", "SELECT o_orderkey, CAST(DATE '1970-01-01' + CAST(o_orderkey % 60000 - 25569 AS INTEGER) AS DATE) AS day FROM orders")
+def excel_dates(spark, sf):
+    return corpus.read(spark, sf, "orders").select("o_orderkey", columns.excel_date(F.col("o_orderkey") % 60000).alias("day"))
