@@ -35,8 +35,8 @@ KINDS = {
 def nfkc(c: Column) -> Column:
     """Compatibility composition without NULs; ASCII, where it changes nothing, skips the call."""
     plain = F.replace(c, F.lit("\x00"), F.lit(""))
-    folded = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), plain, F.lit(True))
-    return F.when(c.rlike(r"^\p{ASCII}*$"), plain).otherwise(folded)
+    folded = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(plain, F.lit("")), F.lit(True))
+    return F.when(c.isNull() | c.rlike(r"^\p{ASCII}*$"), plain).otherwise(folded)
 
 
 def tokens(c: Column) -> Column:
@@ -87,7 +87,7 @@ def heading_level(c: Column) -> Column:
 def clauses(c: Column) -> Column:
     """Folded parts of a message between sentence and clause marks."""
     parts = F.split(F.lower(nfkc(c)), r"[。！？!?；;\n，,、]+")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def highlight_terms(c: Column) -> Column:

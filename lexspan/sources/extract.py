@@ -66,7 +66,7 @@ def extract_file(kind: str, data: bytes, settings: Settings, providers: Provider
                 return "indexed", "word" if kind.startswith("legacy-") else "ocr", text_blocks(text, settings.page_marks), None, False
         return ("needs_conversion" if kind.startswith("legacy-") else "needs_ocr"), "none", [], None, False
     except Exception as e:  # one bad file is a row with its error, not a failed job
-        return "error", "none", [], f"{type(e).__name__}: {e}"[:500], False
+        return "error", "none", [], f"{type(e).__name__}: {e}"[:500], True  # its pictures aren't looked for again
 
 
 def extract(spark: SparkSession, files: DataFrame, settings: Settings, providers: Providers | None = None) -> DataFrame:

@@ -13,13 +13,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..engine import Engine
 
 INTERVAL = "3 seconds"
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def changes(engine: Engine) -> DataFrame:
     """The stream of paths, sizes and times under the roots."""
     out = None
     for root in engine.settings.roots:
-        files = engine.spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+        files = engine.spark.readStream.schema(FILES).format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
         out = files if out is None else out.union(files)
     if out is None:
         raise ValueError("no roots to watch")
