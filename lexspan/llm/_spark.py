@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that goes to Python at once.  Whole texts can be long, so batches are smaller than Spark's default.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables.  The session's batches to Python are made small enough for whole texts, unless they are smaller yet."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a partition at least, where a written table is gathered.
+PART_ROWS = 100_000
+
+
+def cut(df: DataFrame, gather: bool = False) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and read it back: short lineage,
     one computation, and files that outlive lost executors.  Only where the session names
-    no such folder (local tests) is a temporary one set."""
+    no such folder (local tests) is a temporary one set.  gather: what is left of a table is
+    often little, and is then read in as few partitions as it fills, so that the next
+    shuffles don't write a file for each of many empty ones."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -23,7 +40,8 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexspan-"))
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out.coalesce(max(1, -(-out.count() // PART_ROWS))) if gather else out
 
 
 def held_out():
@@ -33,3 +51,13 @@ def held_out():
 
 def share(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
+
+
+def release() -> None:
+    """Gives a Python worker's free memory back to the system when its task ends; workers outlive tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

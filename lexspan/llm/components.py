@@ -4,7 +4,8 @@ Each round points every node of an edge at the smallest node seen around it
 (large-star, then small-star), so a component becomes a star around its
 smallest id in O(log^2 n) rounds.  Neighbour minima are aggregates with
 map-side combining, so a hub of any degree costs one row per task; before each
-round every partition keeps only a spanning forest of its own edges.
+round every partition keeps only a spanning forest of its own edges.  Once these
+forests have no more than `LOCAL_EDGES` edges in all, one task joins them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from ._spark import cut
 
 MAX_ROUNDS = 60
+#: Edges (16 bytes each) that one task joins at most.
+LOCAL_EDGES = 1_000_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +55,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = cut(e.mapInArrow(_contract, "u long, v long"))
     last = None
     for _ in range(MAX_ROUNDS):
+        if e.count() <= LOCAL_EDGES:
+            e = e.coalesce(1).mapInArrow(_contract, "u long, v long")
+            break
         # v < u holds here: v is the smallest node around u in its partition
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -70,5 +76,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         last = state
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    stars = e.groupBy("u").agg(F.min("v").alias("v"))
+    stars = cut(e.groupBy("u").agg(F.min("v").alias("v")) if e.rdd.getNumPartitions() > 1 else e, gather=True)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v"), F.col("v")).distinct())

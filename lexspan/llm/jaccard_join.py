@@ -8,17 +8,20 @@ equal segments (pigeonhole) are the join keys.  A document emits its first
 d + 1 segments that aren't empty, d being the largest difference that its own
 size allows: of these at least one is equal in any partner, and whichever of two
 partners stops first, the other has emitted that segment too.  The segments come
-from a sketch of 2^64 positions that is never written out; a folded one of about
-a bit for each element is kept for a second bound.  Last comes the exact check
+from a sketch of 2^64 positions that is never written out; a folded one of a
+few bits for each element is kept for a second bound.  Last comes the exact check
 of the sets.
 
 Skew.  Documents of equal sets are one class, found by an aggregate with
 map-side combining.  In a bucket of three or more members each is paired with
 the smallest one only, first within a map task (so a hot key leaves it as one
 row), then among what the tasks have left.  After these pairs are checked, the
-buckets whose members still lie in several components give the pairs across
-these components; no pair within a component is ever made.  So every link that
-matters for the components is either checked or implied.
+members of buckets that still lie in several components are compared, across
+these components and by their folded sketches, inside tiles of a bounded number of
+members; nothing but pairs that the sketches allow leaves a tile: first a
+spanning forest of the nearest, then, with the components that the forest has
+joined, all that are left.  So every link that matters for the components is
+either checked or implied, and no pair within a component is ever made.
 
 Sets hold 64-bit hashes of shingles (a pair of different shingles is confused
 with probability 2^-64).
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ._spark import cut, table
+from ._spark import cut, release, table
 from ._text import mix, shingle_set, signature
 from .components import components
 
@@ -47,6 +50,10 @@ WORDS = 5
 #: Rows of a table of ids that is broadcast at most; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 LOCAL_ROWS = 1 << 20
+#: Members of a bucket that one task compares with as many others.
+TILE = 4096
+#: 64-bit words of the sketches' first comparison.
+COARSE = 16
 KEY, MEMBER, PAIR, CENTRE = 0, 1, 2, 3
 
 
@@ -78,8 +85,8 @@ def segment_keys(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """The parity sketch folded to a power of two of bits, one or two for each element."""
-    bits = max(64, 1 << len(h).bit_length())
+    """The parity sketch folded to a power of two of bits, two to four for each element."""
+    bits = max(64, 2 << len(h).bit_length())
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
@@ -174,6 +181,9 @@ def key_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     keys, ids, held = [], [], 0
         if held:
             yield from combine(keys, ids)
+        keys, ids = [], []
+        seen.clear()
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "p long, kind byte, a long, b long")
 
@@ -199,6 +209,8 @@ def bucket_rows(rows: DataFrame) -> DataFrame:
                 yield from out(PAIR, a, b)
                 inside = np.repeat(large, size) & ~centre  # centres have been given as members
                 yield from out(MEMBER, key[inside], who[inside])
+            del key, who, centre
+        release()
 
     def out(kind: int, a: np.ndarray, b: np.ndarray):
         for i in range(0, len(a), 200_000):
@@ -227,10 +239,10 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())], names=["doc_id", "elements"])
+            sets = (shingle_set(t, words) for t in batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "elements"])
 
-    ids = cut(ids)
+    ids = cut(ids, gather=True)
     small = ids.count() <= BROADCAST_IDS
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     return chosen.mapInArrow(run, "doc_id long, elements binary").dropDuplicates(["doc_id"])
@@ -240,39 +252,115 @@ def _verified(docs: DataFrame, pairs: DataFrame, about: DataFrame, words: int) -
     """Of pairs (a, b), those that the sizes and sketches allow and whose sets are similar."""
     side = lambda x: about.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     near = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    near = cut(near.where(_sketches_allow("sketch_a", "n_a", "sketch_b", "n_b")).select("a", "b"))
+    near = cut(near.where(_sketches_allow("sketch_a", "n_a", "sketch_b", "n_b")).select("a", "b"), gather=True)
     sets = _sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words)
     both = near.join(sets.withColumnsRenamed({"doc_id": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "elements": "y"}), "b")
-    return cut(both.where(_sets_similar("x", "y")).select("a", "b"))
+    return cut(both.where(_sets_similar("x", "y")).select("a", "b"), gather=True)
+
+
+def _across(members: DataFrame, reps: DataFrame, apart: DataFrame, forest_only: bool) -> DataFrame:
+    """a, b: pairs of a bucket's members in different components that the sketches allow; forest_only: of each tile
+    the nearest pairs that join all components that such pairs can join."""
+    placed = members.join(apart.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    split = split.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    placed = placed.join(split, "key")
+    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    rows = placed.join(reps.select("rep", "sketch"), "rep").withColumn("mine", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component", "n", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        key, i, j, mine, rep, comp, n = (t.column(c).to_numpy() for c in range(7))
+        bits, order = t.column(7).combine_chunks(), np.lexsort((rep, j, i, key))
+        k = np.stack((key, i, j), axis=1)[order]
+        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1))))
+        for at, to in zip(first, np.append(first[1:], len(order))):
+            rows = order[at:to]
+            if comp[rows].min() == comp[rows].max():
+                continue
+            data = bits.take(pa.array(rows)).to_pylist()
+            a, b = tile_pairs(rep[rows], comp[rows], n[rows], data, mine[rows], int(i[rows[0]]) == int(j[rows[0]]), forest_only)
+            for x in range(0, len(a), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[x : x + 200_000]), pa.array(b[x : x + 200_000])], names=["a", "b"])
+
+    return rows.repartition("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def tile_pairs(rep, comp, n, sketches: list[bytes], mine, within: bool, forest_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) across components that sizes and sketches allow; within: of one tile, else between the two tiles in mine."""
+    size = min(map(len, sketches))
+    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), axis=0) for s in sketches])
+    coarse = np.bitwise_xor.reduce(bits.reshape(len(bits), -1, min(size // 8, COARSE)), axis=1)
+    left = np.arange(len(rep)) if within else np.flatnonzero(mine == mine.min())
+    right = left if within else np.flatnonzero(mine != mine.min())
+    xs, ys, ds = [], [], []
+    for p in range(0, len(left), 512):
+        x = left[p : p + 512]
+        for q in range(p if within else 0, len(right), 512):
+            y = right[q : q + 512]
+            m, o = n[x][:, None], n[y][None, :]
+            fits = (comp[x][:, None] != comp[y][None, :]) & (5 * np.minimum(m, o) >= 4 * np.maximum(m, o))
+            if within and p == q:
+                fits = np.triu(fits, 1)
+            if not fits.any():
+                continue
+            far = np.zeros((len(x), len(y)), dtype=np.int32)
+            for w in range(coarse.shape[1]):
+                far += np.bitwise_count(coarse[x, w][:, None] ^ coarse[y, w][None, :])
+            u, v = np.nonzero(fits & (9 * far <= m + o))
+            u, v = x[u], y[v]
+            d = np.concatenate([np.bitwise_count(bits[u[e : e + 8192]] ^ bits[v[e : e + 8192]]).sum(1, dtype=np.int64) for e in range(0, len(u), 8192)] or [np.empty(0, np.int64)])
+            ok = 9 * d <= n[u] + n[v]
+            xs.append(u[ok])
+            ys.append(v[ok])
+            ds.append(d[ok])
+    x, y, d = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (xs, ys, ds))
+    if forest_only and len(x):
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = root[c]
+            return c
+
+        keep = []
+        for e in np.argsort(d, kind="stable").tolist():
+            f, g = find(int(comp[x[e]])), find(int(comp[y[e]]))
+            if f != g:
+                root[max(f, g)] = min(f, g)
+                keep.append(e)
+        x, y = x[keep], y[keep]
+    return np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (columns doc_id and text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    profile = cut(profiles(docs, words))
-    classes = profile.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = cut(profile.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch", "s1", "s2"))
+    profile = cut(profiles(docs, words), gather=True)
+    classes = cut(profile.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), gather=True)
+    reps = cut(profile.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), gather=True)
 
-    rows = cut(bucket_rows(key_rows(docs, words)))
-    rep_of = profile.where("doc_id is not null and n > 0").join(classes, ["s1", "s2"]).select(F.col("doc_id"), "rep").dropDuplicates(["doc_id"])
+    rows = cut(bucket_rows(key_rows(docs, words)), gather=True)
+    rep_of = cut(profile.where("doc_id is not null and n > 0").join(classes, ["s1", "s2"]).select(F.col("doc_id"), "rep").dropDuplicates(["doc_id"]), gather=True)
     of = lambda x, to: rep_of.select(F.col("doc_id").alias(x), F.col("rep").alias(to))
     found = rows.where(F.col("kind") == PAIR).select("a", "b").distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
-    tried = cut(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    tried = cut(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), gather=True)
     links = _verified(docs, tried, reps, words)
 
-    # buckets whose members are still apart: every pair across their components
-    apart = components(links, "a", "b")
     members = rows.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), "b").join(of("b", "rep"), "b").select("key", "rep").distinct()
-    members = members.join(apart.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    members = cut(members.join(reps.select("rep", "n"), "rep"))
-    split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    x = members.join(split, "key", "left_semi").select("key", "rep", "component", "n")
-    y = x.toDF("key", "rep_y", "component_y", "n_y")
-    across = x.join(y, "key").where("component < component_y and 5 * least(n, n_y) >= 4 * greatest(n, n_y)")
-    across = across.select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(docs, across, reps, words)
-
-    joined = components(links.union(more), "a", "b")
+    members = cut(members.join(reps.select("rep", "n"), "rep").select("key", "rep", "n"), gather=True)
+    for forest_only in (True, False):
+        pairs = _across(members, reps, components(links, "a", "b"), forest_only).join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs, gather=True)
+        links = links.union(_verified(docs, pairs, reps, words))
+        tried = tried.union(pairs)
+
+    joined = components(links, "a", "b")
     out = profile.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
