@@ -5,8 +5,8 @@ number of open bins.  A bitset has a bit for each amount of free space that some
 open bin has, so the best fit for a piece (the least free space that holds it)
 is the lowest set bit at or above its length.  A piece that fits nowhere opens a
 bin; when all bins are open, the fullest, which is the lowest set bit, closes
-first.  Pieces arrive a batch at a time, and those of a batch are placed longest
-first.
+first.  Of the pieces that arrive, `AT_HAND` at a time are held back and placed
+longest first.
 
 Pieces are laid out by range of (doc_id, piece) before packing, with a partition
 for every `PIECES_PER_PART`, each packed by itself: a task holds its open bins
@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut, table
-from .word_bpe import MODEL, encoder
+from .word_bpe import MODEL, encoder, forget
 
 SIZE = 2048
 SEPARATOR = 0
 OPEN_BINS = 8192
+AT_HAND = 10_000
 PIECES_PER_PART = 400_000
 
 
@@ -88,6 +89,7 @@ def cut_pieces(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR, na
                     part = data[at : at + 4 * size]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        forget(name)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -101,9 +103,19 @@ def pack(pieces: DataFrame, size: int = SIZE, bins: int = OPEN_BINS, per_part: i
     names = laid.columns
     where = names.index("length")
 
+    def together(batches: Iterator[pa.RecordBatch]):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= AT_HAND:
+                yield pa.concat_batches(held)
+                held = []
+        if held:
+            yield pa.concat_batches(held)
+
     def run(batches: Iterator[pa.RecordBatch]):
         packer, base = BestFit(size, bins), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in together(batches):
             length = batch.column(where).to_numpy()
             seq, offset = np.zeros((2, len(length)), dtype=np.int64)
             for i in np.argsort(-length, kind="stable").tolist():  # the pieces at hand come longest first

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, table
+from ._spark import cut, release, table
 from ._text import mix, shingles, word_hashes
 
 WORDS = 5
@@ -144,6 +144,9 @@ def window_rows(docs: DataFrame, words: int, min_words: int, hashes: int) -> Dat
                     keys, ids, places, held = [], [], [], 0
         if held:
             yield from combine(keys, ids, places)
+        keys, ids, places = [], [], []
+        seen.clear()
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "key long, kind byte, doc long, loc long, doc_b long, loc_b long")
 
@@ -178,6 +181,8 @@ def _collisions(rows: DataFrame) -> DataFrame:
                 _, doc, loc, large, head, _ = _stars(key, doc, loc, 2)
                 pair = large & (doc != doc[head])
                 yield from _pairs(doc[head][pair], loc[head][pair], doc[pair], loc[pair])
+            del key, doc, loc
+        release()
 
     def _pairs(a, la, b, lb):
         """Summed up by document pair: hulls of the windows and the hash functions that agree."""
@@ -237,11 +242,11 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_
     """doc_id, source_doc_id, start_word, n_words, similarity: the spans of words that repeat a passage of an earlier document."""
     width = min_words - words + 1
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    pairs = cut(_collisions(window_rows(docs, words, min_words, hashes)).where(F.bit_count("agree") >= needed))
+    pairs = cut(_collisions(window_rows(docs, words, min_words, hashes)).where(F.bit_count("agree") >= needed), gather=True)
 
     # one slice for each document that takes part: the hull of its windows
     sides = pairs.select(F.col("a").alias("doc_id"), F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi")).union(pairs.select("b", "lo_b", "hi_b"))
-    hulls = cut(sides.groupBy("doc_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    hulls = cut(sides.groupBy("doc_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), gather=True)
     small = hulls.count() <= BROADCAST_ROWS
 
     def slices(batches: Iterator[pa.RecordBatch]):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import share, table
+from ._spark import release, share, table
 from .word_bpe import model_path
 
 MODEL = "piece_bpe_32k.model"
@@ -362,6 +362,8 @@ def encode_documents(docs: DataFrame, model: Unigram) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = [(len(ids) // 4, zlib.crc32(ids), len(text.encode()), text == back) for text, (ids, back) in zip(texts, held.value.encode_batch(texts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.bool_())))], names=["doc_id", "n_pieces", "ids_crc32", "n_bytes", "round_trip"])
+        held.value.cache = {}
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, round_trip boolean")
 

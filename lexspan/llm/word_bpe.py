@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import release, table
 
 MODEL = "word_bpe_49k.json"
 LIMIT = 2048
@@ -39,6 +40,14 @@ _PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}
 _ODD = regex.compile("[\x1c-\x1f]")
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def model_path(name: str = MODEL) -> str:
     import public_tokenizers
 
@@ -107,13 +116,17 @@ class RankedMerges:
             going = going[~hit & (found != -1)]
         return out
 
-    def encode(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The token ids of all pre-tokens in order, and how many each has."""
-        length = np.fromiter(map(len, pretokens), dtype=np.int64, count=len(pretokens))
-        symbol = self.inner[np.frombuffer(b"".join(pretokens), dtype=np.uint8)]
+    def encode(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of all pre-tokens (not empty, without line breaks) in order, and how many each has."""
+        if not pretokens:
+            return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
+        data = np.frombuffer(("\n".join(pretokens) + "\n").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        ends = np.flatnonzero(data == 10)
+        symbol = self.inner[data]
+        symbol[ends - 1] = self.final[data[ends - 1]]
+        symbol = symbol[data != 10]
+        length = np.diff(ends, prepend=-1) - 1
         row = np.repeat(np.arange(len(pretokens)), length)
-        last = (np.cumsum(length) - 1)[length > 0]
-        symbol[last] = self.final[np.frombuffer(b"".join(p[-1:] for p in pretokens), dtype=np.uint8)]
         ended: list[tuple[np.ndarray, np.ndarray]] = []
         joint = self._starts(symbol, row)  # rank of the pair that starts at each symbol
         while len(symbol):
@@ -141,8 +154,6 @@ class RankedMerges:
             beside[at] = beside[at - 1] = True
             near = np.flatnonzero(beside[:-1])
             joint[near] = self._starts(symbol, row, near)
-        if not ended:
-            return np.empty(0, dtype="<u4"), length
         row, symbol = (np.concatenate(x) for x in zip(*ended))
         return symbol[np.argsort(row, kind="stable")].astype("<u4"), np.bincount(row, minlength=len(pretokens))
 
@@ -184,6 +195,8 @@ class Encoder:
         return self._pieces_plain(text)
 
     def _pieces_plain(self, text: str) -> list[str]:
+        if _latin(text):  # here every character is its own lower case or one other character, and none composes
+            text = text.lower()
         return [x for x in _SPLIT.split(text) if x] if _ODD.search(text) else text.split()
 
     def _pretokens(self, piece: str) -> list[str]:
@@ -205,21 +218,27 @@ class Encoder:
         return [bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in spans]
 
     def _learn(self, fresh: list[str]) -> None:
-        tokens: list[bytes] = []
-        many = []
+        """Fills the cache.  A piece of letters alone is one pre-token."""
+        plain, other = [], []
         for piece in fresh:
+            (plain if piece.isalpha() and piece.islower() and _latin(piece) else other).append(piece)
+        ids, counts = self.merges.encode(plain)
+        self._keep(plain, ids, np.cumsum(counts))
+        tokens: list[str] = []
+        many = []
+        for piece in other:
             found = () if piece in self.merges.specials else self._pretokens(piece)
             many.append(len(found))
-            tokens += [p.encode("utf-8") for p in found]
+            tokens += found
         ids, counts = self.merges.encode(tokens)
-        ends = np.concatenate(([0], np.cumsum(counts)))[np.cumsum(many)] * 4
-        flat, at = ids.tobytes(), 0
-        for piece, to in zip(fresh, ends.tolist()):
-            self.cache[piece] = flat[at:to]
-            at = to
-        for piece in set(fresh) & self.merges.specials.keys():
+        self._keep(other, ids, np.concatenate(([0], np.cumsum(counts)))[np.cumsum(many, dtype=np.int64)])
+        for piece in set(other) & self.merges.specials.keys():
             self.cache[piece] = np.array([self.merges.specials[piece]], dtype="<u4").tobytes()
 
+    def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        flat, ends = ids.tobytes(), (ends * 4).tolist()
+        self.cache.update(zip(pieces, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+
     def encode_batch(self, texts: list[str | None]):
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         at = 0
@@ -249,12 +268,20 @@ def encoder(name: str = MODEL) -> Encoder:
     return _ENCODERS[name]
 
 
+def forget(name: str = MODEL) -> None:
+    """Drops what the worker's encoder has learnt, at the end of a task."""
+    encoder(name).cache = {}
+    release()
+
+
 def counter(name: str = MODEL):
     """A column function: text -> tokens of the whole text."""
 
     @F.pandas_udf("long")
-    def n_tokens(text: pd.Series) -> pd.Series:
-        return pd.Series([len(x) // 4 for x in encoder(name).encode_batch(text.tolist())], dtype="int64")
+    def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            yield pd.Series([len(x) // 4 for x in encoder(name).encode_batch(text.tolist())], dtype="int64")
+        forget(name)
 
     return n_tokens
 
