@@ -5,7 +5,7 @@ by its place (menus, footers, forms, notices, comments and the like, told by
 element or by class, id and role), its link density, its length and the density
 of stop words; short blocks stay open.  In the second pass an open block takes
 the label of its nearest decided neighbours: of both if they agree, of the
-nearer one if not, ties to the one before.  An <article> or <main> that holds
+nearer one if not, ties to the one before; a title takes that of what follows.  An <article> or <main> that holds
 text bounds the main text, and a neighbour across its border doesn't count.
 
 Defined results: a null, empty or tag-only page gives "".  Unclosed tags and
@@ -55,6 +55,7 @@ _HINT = re.compile(
 )
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TAG = re.compile(r"""<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _COPYRIGHT = re.compile(r"©|\(c\)\s*\d{4}|copyright|all rights reserved", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,10 +75,10 @@ def _says_out(attributes: str) -> bool:
 
 
 class Block:
-    __slots__ = ("text", "linked", "main", "out", "label")
+    __slots__ = ("text", "linked", "main", "out", "title", "label")
 
-    def __init__(self, text: str, linked: int, main: int, out: bool):
-        self.text, self.linked, self.main, self.out, self.label = text, linked, main, out, None
+    def __init__(self, text: str, linked: int, main: int, out: bool, title: bool = False):
+        self.text, self.linked, self.main, self.out, self.title, self.label = text, linked, main, out, title, None
 
 
 def blocks(page: str) -> list[Block]:
@@ -85,15 +86,15 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # element, boilerplate, main
     parts: list[str] = []
-    state = {"links": 0, "linked": 0, "flat": False, "mains": 0}
+    state = {"links": 0, "linked": 0, "flat": False, "title": False, "mains": 0}
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             _, bad, main = stack[-1]
-            out.append(Block(text, state["linked"], main, bad or state["flat"]))
+            out.append(Block(text, state["linked"], main, bad or state["flat"], state["title"]))
         parts.clear()
-        state["linked"], state["flat"] = 0, False
+        state["linked"], state["flat"], state["title"] = 0, False, False
 
     def add(text: str) -> None:
         if text:
@@ -128,6 +129,7 @@ def blocks(page: str) -> list[Block]:
             close()
             if name in _FLAT:
                 state["flat"] = not ending and bool(attributes) and _says_out(attributes)
+                state["title"] = not ending and name in _TITLES
             elif ending:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
@@ -183,7 +185,7 @@ def main_blocks(page: str | None) -> list[str]:
                 if 0 <= j < len(found) and found[j].main == b.main and given[j] is not None and not found[j].out:
                     near.append((abs(j - i), given[j]))
             if near:
-                b.label = min(near, key=lambda x: x[0])[1]
+                b.label = near[-1][1] if b.title else min(near, key=lambda x: x[0])[1]
             else:  # nothing decided around: the article's own short blocks stay, others need signs of prose
                 words = _WORD.findall(b.text.lower())
                 b.label = bool(b.main) or len(b.text) >= SHORT and any(w in STOP_WORDS for w in words)
