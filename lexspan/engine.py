@@ -19,6 +19,9 @@ from .sources.extract import Providers, extract
 from .sources.folders import any_of, scan
 
 
+TAG = "lexspan-sync"
+
+
 class Engine:
     def __init__(self, spark: SparkSession, store: str, settings: Settings, providers: Providers | None = None):
         self.spark, self.store, self.settings, self.providers = spark, Store(spark, store), settings, providers or Providers()
@@ -32,6 +35,7 @@ class Engine:
         if not self._lock.acquire(blocking=False):
             return {"running": True, **self.progress}
         started, outcome = time.time(), {}
+        self.spark.addTag(TAG)
         try:
             self.progress = {"phase": "scan"}
             if full:
@@ -59,10 +63,15 @@ class Engine:
             self._log("error", f"sync failed: {e}", None, outcome)
             raise
         finally:
+            self.spark.removeTag(TAG)
             self._stale = (0.0, None)
             self.spark.catalog.clearCache()
             self._lock.release()
 
+    def cancel(self) -> None:
+        """Stops a running sync's jobs; the tables stay as they were before the table in work."""
+        self.spark.interruptTag(TAG)
+
     def _apply(self, files: DataFrame, old: DataFrame, todo: DataFrame, removed: DataFrame, outcome: dict) -> None:
         if not todo.limit(1).count() and not removed.limit(1).count():
             return

@@ -144,3 +144,44 @@ def test_last_turn(spark):
     rows = [("s", 1, "user/message", "user", "old"), ("s", 2, "turn/start", None, None), ("s", 3, "user/message", "plugin", "no"), ("s", 4, "user/message", "user", "a"), ("s", 5, "user/message", "user", "b")]
     got = gate.last_turn_text(spark.createDataFrame(rows, "session_id string, idx int, type string, source string, text string"))
     assert [(r["session_id"], r["text"]) for r in got.collect()] == [("s", "a\nb")]
+
+
+def test_http_and_tools(spark, tmp_path, folder):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from lexspan.http import serve
+    from lexspan.tools import REFUSED, Tools
+
+    e = made(spark, tmp_path, folder)
+    e.sync()
+    server = serve(e)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def call(path, body=None, **headers):
+        data = None if body is None else json.dumps(body).encode()
+        request = urllib.request.Request(base + path, data, {"Content-Type": "application/json", **headers} if data else headers)
+        try:
+            with urllib.request.urlopen(request) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as error:
+            return error.code, json.loads(error.read())
+
+    from urllib.parse import quote
+
+    assert call("/search?q=" + quote("追溯"))[1][0]["rel"] in ("公司简介.txt", "方案模板/通用模板.md")
+    assert call("/search?q=")[0] == 400 and call("/nothing")[0] == 404 and call("/sync")[0] == 405 and call("/status", Host="example.org")[0] == 403
+    assert call("/doc?key=nothing")[0] == 404 and call("/preview?path=/etc/passwd")[0] == 403
+    path = e.store.read("docs").where("ext = '.txt'").first()["path"]
+    assert "mark" in call("/preview?path=" + quote(path) + "&q=" + quote("追溯"))[1]["html"]
+    assert call("/session", {"id": "s", "enabled": True})[1] == call("/session?id=s")[1] == {"enabled": True}
+    assert call("/settings", {"top_k": 5})[1]["top_k"] == 5 and call("/settings", {"top_k": -5})[0] == 400
+    server.shutdown()
+    tools = Tools(e)
+    assert tools.kb_search("x", "写一首诗", "追溯") == REFUSED and "追溯" in tools.kb_search("x", "用知识库查追溯", "追溯")
+    assert "通用模板.md" in tools.kb_list("s", "", "方案模板") and tools.kb_read("s", "", "图块综合.dwg").startswith("no text")
+    assert "doesn't ask" in tools.kb_status("s", "你好", "now") and "unchanged: 3" in tools.kb_status("s", "同步一下知识库", "now")
+    assert tools.kb_session("s", "off") == "off" and "3 files" in tools.prompt_section("s")
