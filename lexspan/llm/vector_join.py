@@ -240,4 +240,22 @@ def op4_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings"))
 
 
+ORACLES = {
+    "op4_vector_join": """
+WITH RECURSIVE c AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM c WHERE list_dot_product(v, v) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.95::DOUBLE * a.size * b.size
+), n AS (
+  SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY 1
+), reach(vec_id, component_id) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT y, component_id FROM reach JOIN links ON x = reach.vec_id
+)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings AS e LEFT JOIN n USING (vec_id) JOIN (SELECT vec_id, min(component_id) AS component_id FROM reach GROUP BY 1) AS r USING (vec_id)
+"""
+}
 QUERIES = {"op4_vector_join": op4_vector_join}
