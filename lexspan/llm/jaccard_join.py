@@ -112,6 +112,7 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 h = shingle_set(text, words)
                 rows.append((doc, len(h), *signature(h), sketch(h) if len(h) else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n", "s1", "s2", "sketch"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary")
 
@@ -241,6 +242,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             sets = (shingle_set(t, words) for t in batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "elements"])
+        release()
 
     ids = cut(ids, gather=True)
     small = ids.count() <= BROADCAST_IDS

@@ -15,6 +15,7 @@ no labelled documents everything is `und`.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import held_out, share, table
+from ._spark import held_out, release, share, table
 from ._text import mix
 
 GRAM = 4
@@ -138,8 +139,10 @@ def predictor(spark: SparkSession, model: Model):
     held = share(spark, model)
 
     @F.pandas_udf(SCHEMA)
-    def predict(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([held.value.predict(t) for t in text], columns=["lang_pred", "score"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in batches:
+            yield pd.DataFrame([held.value.predict(t) for t in text], columns=["lang_pred", "score"])
+        release()
 
     return predict
 

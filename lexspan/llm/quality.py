@@ -15,6 +15,7 @@ labelled more than once counts with its smallest label.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import held_out, share, table
+from ._spark import held_out, release, share, table
 from ._text import word_hashes
 
 BITS = 12
@@ -154,8 +155,10 @@ def scorer(spark: SparkSession, model: Model):
     held = share(spark, model)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(held.value.score(text.tolist()), dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            yield pd.Series(held.value.score(text.tolist()), dtype="float64")
+        release()
 
     return score
 

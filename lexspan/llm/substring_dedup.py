@@ -254,6 +254,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_
             doc, text, lo, hi = (batch.column(i) for i in range(4))
             parts = [shingles(word_hashes(t), words)[x : y + 1].tobytes() for t, x, y in zip(text.to_pylist(), lo.to_pylist(), hi.to_pylist())]
             yield pa.RecordBatch.from_arrays([doc, lo, pa.array(parts, pa.binary())], names=["doc_id", "lo", "part"])
+        release()
 
     parts = docs.join(F.broadcast(hulls) if small else hulls, "doc_id").select("doc_id", "text", "lo", "hi").mapInArrow(slices, "doc_id long, lo long, part binary").dropDuplicates(["doc_id"])
     both = pairs.join(parts.toDF("a", "from_a", "part_a"), "a").join(parts.toDF("b", "from_b", "part_b"), "b")
@@ -266,6 +267,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_
                 y = np.frombuffer(r["part_b"], np.uint64)[r["lo_b"] - r["from_b"] : r["hi_b"] - r["from_b"] + 1]
                 rows += [(r["b"], r["a"], r["lo_b"] + s, e - s + words, j) for s, e, j in similar_spans(x, y, width)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "source_doc_id", "start_word", "n_words", "similarity"])
+        release()
 
     schema = "doc_id long, source_doc_id long, start_word long, n_words long, similarity double"
     spans = both.select("a", "b", "lo_a", "hi_a", "lo_b", "hi_b", "from_a", "from_b", "part_a", "part_b").mapInArrow(verify, schema)
