@@ -46,6 +46,8 @@ NEEDED = 2
 BROADCAST_ROWS = 500_000
 LOCAL_ROWS = 1 << 19
 PART = 1 << 20
+#: Places by which the shift between two similar passages may move inside one of them.
+BAND = 10
 KEY, PAIR = 0, 1
 _SEEDS = np.random.default_rng(99).integers(1, 2**63, 16, dtype=np.uint64)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -223,6 +225,7 @@ def similar_spans(a: np.ndarray, b: np.ndarray, width: int, similarity: float =
         shift = where[at[inside]] - inside
         near = np.abs(shift - np.median(shift)) <= max(8, (hi - lo + 1) // 4)
         if not near.any():
+            out += [(lo + s, lo + e, j) for s, e, j in _aligned_runs(a, b[lo : hi + 1], width, need, similarity)]
             continue
         there = where[at[inside]][near]
         x, y = np.unique(a[there.min() : there.max() + 1]), np.unique(b[lo : hi + 1])
@@ -233,8 +236,45 @@ def similar_spans(a: np.ndarray, b: np.ndarray, width: int, similarity: float =
             x = np.unique(a[start : start + hi - lo + 1])
             both = len(np.intersect1d(x, y, assume_unique=True))
             j = max(j, both / max(1, len(x) + len(y) - both))
-        if hi - lo + 1 >= need and j >= similarity:
-            out.append((lo, hi, float(j)))
+        if j >= similarity:
+            if hi - lo + 1 >= need:
+                out.append((lo, hi, float(j)))
+        else:  # parts of it may lie in several places of a
+            out += [(lo + s, lo + e, j) for s, e, j in _aligned_runs(a, b[lo : hi + 1], width, need, similarity)]
+    return out
+
+
+def _aligned_runs(a: np.ndarray, b: np.ndarray, width: int, need: int, similarity: float) -> list[tuple[int, int, float]]:
+    """The spans of b whose width-token passages are each similar to a passage of a that lies at a nearly constant shift."""
+    order = np.argsort(a, kind="stable")
+    left, right = np.searchsorted(a, b, "left", sorter=order), np.searchsorted(a, b, "right", sorter=order)
+    count = right - left
+    in_b = np.repeat(np.arange(len(b)), count)
+    in_a = order[np.arange(len(in_b)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)]
+    found = []
+    for offset in (0, BAND):  # bands overlap by half, so that a shift that moves by less than BAND stays in one
+        band = (in_a - in_b + len(b) + offset) // (2 * BAND)
+        by = np.lexsort((in_b, band))
+        for part in np.split(by, np.flatnonzero(np.diff(band[by])) + 1):
+            if len(part) < need:
+                continue
+            x, y = in_a[part], in_b[part]
+            matched = np.zeros(len(b) + 1, np.int64)
+            matched[np.unique(y) + 1] = 1
+            total = np.cumsum(matched)
+            for s in np.flatnonzero(total[width:] - total[:-width] >= need).tolist():
+                i, k = np.searchsorted(y, [s, s + width])
+                here, there = np.unique(b[y[i] : y[k - 1] + 1]), np.unique(a[x[i:k].min() : x[i:k].max() + 1])
+                both = len(np.intersect1d(here, there, assume_unique=True))
+                j = both / (len(here) + len(there) - both)
+                if y[k - 1] - y[i] + 1 >= need and j >= similarity:
+                    found.append((int(y[i]), int(y[k - 1]), j))
+    out: list[tuple[int, int, float]] = []
+    for s, e, j in sorted(found):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1]), min(j, out[-1][2])
+        else:
+            out.append((s, e, j))
     return out
 
 

@@ -147,3 +147,28 @@ def test_near_passage_and_copies(spark):
 def test_shingle_set_sizes():
     for text in ("", "a", "a b c d", "a b c d e", "A a a a a a a", None, "é ü \xa0x y z"):
         assert len(shingle_set(text)) == len(shingles(text))
+
+
+def spans_of(spark, rows):
+    out = {}
+    for r in substring_dedup.repeated_passages(documents(spark, rows)).collect():
+        out.setdefault(r["doc_id"], []).append((r["start_word"], r["start_word"] + r["n_words"], r["source_doc_id"]))
+    return out
+
+
+def covers(spans, start, end):
+    """Whether the words from start to end lie in spans, but for two at each border."""
+    held = {i for s, e, _ in spans for i in range(s, e)}
+    return held >= set(range(start + 2, end - 2))
+
+
+def test_passages_at_several_shifts(spark):
+    """A middle section that is missing, and two passages in the other order and far apart."""
+    rng = random.Random(11)
+    p, q, r = prose(350, rng), prose(300, rng), prose(350, rng)
+    u, v = prose(60, rng), prose(60, rng)
+    rows = [(1, " ".join(p + q + r)), (2, " ".join(p + r)), (3, " ".join(u + prose(300, rng) + v)), (4, " ".join(prose(80, rng) + v + prose(3, rng) + u + prose(80, rng)))]
+    got = spans_of(spark, rows)
+    assert set(got) == {2, 4}
+    assert covers(got[2], 0, 350) and covers(got[2], 350, 700)
+    assert covers(got[4], 80, 140) and covers(got[4], 143, 203)
