@@ -17,7 +17,8 @@ id: of each passage the copy in the smallest id has no span.
 
 Skew.  In a bucket each document pairs with the smallest one only, first within a
 map task, so a passage held by a third of all documents leaves each task as one
-row.  Exact copies emit windows once a task and are reported whole by an
+row.  Of exact copies a task emits the windows of the first that it meets and of
+each that has a smaller id than those before it; all are reported whole by an
 aggregate.
 
 Defined results: texts of fewer than `MIN_WORDS` words, null and empty texts have
@@ -126,13 +127,13 @@ def window_rows(docs: DataFrame, words: int, min_words: int, hashes: int) -> Dat
         yield from _batches(key[alone], KEY, doc[alone], loc[alone], None, None)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], int] = {}  # the smallest id of each text so far: its windows must be the class's
         keys, ids, places, held = [], [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text or (h := (hash(text), len(text))) in seen:
+                if not text or seen.get(h := (hash(text), len(text)), doc + 1) <= doc:
                     continue
-                seen.add(h)
+                seen[h] = doc
                 tokens = shingles(word_hashes(text), words)
                 if len(tokens) < width:
                     continue

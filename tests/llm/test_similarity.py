@@ -172,3 +172,14 @@ def test_passages_at_several_shifts(spark):
     assert set(got) == {2, 4}
     assert covers(got[2], 0, 350) and covers(got[2], 350, 700)
     assert covers(got[4], 80, 140) and covers(got[4], 143, 203)
+
+
+def test_smallest_copy_is_a_source(spark):
+    """A task that meets a copy before the document of the smallest id."""
+    rng = random.Random(12)
+    p = prose(80, rng)
+    text = " ".join(prose(40, rng) + p + prose(40, rng))
+    rows = spark.createDataFrame([(12, text), (11, " ".join(prose(60, rng) + p + prose(60, rng))), (10, text)], "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["source_doc_id"]): (r["start_word"], r["n_words"]) for r in substring_dedup.repeated_passages(rows).collect()}
+    assert got[12, 10] == (0, 160)
+    assert abs(got[11, 10][0] - 60) <= 2 and abs(got[11, 10][1] - 80) <= 4
