@@ -17,7 +17,11 @@ id: of each passage the copy in the smallest id has no span.
 
 Skew.  In a bucket each document pairs with the smallest one only, first within a
 map task, so a passage held by a third of all documents leaves each task as one
-row.  Of exact copies a task emits the windows of the first that it meets and of
+row.  After these pairs are verified, the windows of larger buckets around which
+something isn't in a reported span yet are compared, by the tokens around them,
+with the bucket's other windows inside tiles of a bounded number of members; a tile
+gives, for each window, the smallest documents that cover what is open, and nothing
+else, so no repeat is lost to a smaller document that only holds the min-hash.  Of exact copies a task emits the windows of the first that it meets and of
 each that has a smaller id than those before it; all are reported whole by an
 aggregate.
 
@@ -28,6 +32,7 @@ without an id take no part; repeated rows with one id are one document.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +54,9 @@ LOCAL_ROWS = 1 << 19
 PART = 1 << 20
 #: Places by which the shift between two similar passages may move inside one of them.
 BAND = 10
-KEY, PAIR = 0, 1
+KEY, PAIR, MEMBER, CENTRE = 0, 1, 2, 3
+#: Members of a bucket that one task compares with as many others.
+TILE = 4096
 _SEEDS = np.random.default_rng(99).integers(1, 2**63, 16, dtype=np.uint64)
 _PLACE = np.uint64((1 << 24) - 1)
 #: A window as one number: place of its smallest token, reach to the left, to the right, hash function.
@@ -122,9 +129,9 @@ def window_rows(docs: DataFrame, words: int, min_words: int, hashes: int) -> Dat
         key, doc, loc, large, head, centre = _stars(np.concatenate(keys), np.concatenate(ids), np.concatenate(places), 3)
         pair = large & (doc != doc[head])
         yield from _batches(mix(doc[pair].astype(np.uint64)).astype(np.int64), PAIR, doc[head][pair], loc[head][pair], doc[pair], loc[pair])
-        alone = ~large
-        alone[centre] = True
-        yield from _batches(key[alone], KEY, doc[alone], loc[alone], None, None)
+        yield from _batches(mix(doc[large].astype(np.uint64)).astype(np.int64), MEMBER, key[large], doc[large], loc[large], np.zeros(int(large.sum()), np.int64))
+        yield from _batches(key[centre], CENTRE, doc[centre], loc[centre], None, None)
+        yield from _batches(key[~large], KEY, doc[~large], loc[~large], None, None)
 
     def run(batches: Iterator[pa.RecordBatch]):
         seen: dict[tuple[int, int], int] = {}  # the smallest id of each text so far: its windows must be the class's
@@ -155,6 +162,9 @@ def window_rows(docs: DataFrame, words: int, min_words: int, hashes: int) -> Dat
 
 
 _NAMES = ["key", "kind", "doc", "loc", "doc_b", "loc_b"]
+_HULLS = ["a", "b", "lo_a", "hi_a", "lo_b", "hi_b"]
+#: Rows whose tokens a task of _across compares at once, in whole groups.
+CHUNK = 20_000
 
 
 def _batches(key, kind, doc, loc, doc_b, loc_b):
@@ -166,7 +176,8 @@ def _batches(key, kind, doc, loc, doc_b, loc_b):
 
 
 def _collisions(rows: DataFrame) -> DataFrame:
-    """a, loc_a, b, loc_b: every window with that of the smallest document of its bucket."""
+    """Pairs of documents with the hulls of their windows and the functions that agree, each window meeting that of the smallest
+    document of its bucket; and (kind MEMBER) the windows of buckets with more than two, as key, document and window in a, b, lo_a."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         held = []
@@ -176,17 +187,30 @@ def _collisions(rows: DataFrame) -> DataFrame:
             ready = kind == PAIR
             if ready.any():
                 yield from _pairs(*(c[ready] for c in cols[1:]))
-            held.append([c[~ready] for c in cols[:3]])
+            if (many := kind == MEMBER).any():
+                yield from _members(*(c[many] for c in cols[1:4]))
+            mine = (kind == KEY) | (kind == CENTRE)
+            held.append([c[mine] for c in (*cols[:3], kind == CENTRE)])
         if held:
-            key, doc, loc = (np.concatenate(x) for x in zip(*held))
+            key, doc, loc, centre = (np.concatenate(x) for x in zip(*held))
             held.clear()
             if len(key):
-                _, doc, loc, large, head, _ = _stars(key, doc, loc, 2)
+                centres = key[centre]
+                key, doc, loc, large, head, _ = _stars(key, doc, loc, 2)
+                _, group, size = np.unique(head, return_inverse=True, return_counts=True)
+                many = large & ((size[group] > 2) | np.isin(key, centres))
+                yield from _members(key[many], doc[many], loc[many])
                 pair = large & (doc != doc[head])
                 yield from _pairs(doc[head][pair], loc[head][pair], doc[pair], loc[pair])
             del key, doc, loc
         release()
 
+    def _members(key, doc, loc):
+        for i in range(0, len(key), 200_000):
+            k, d, x = (c[i : i + 200_000] for c in (key, doc, loc))
+            none = pa.array(np.zeros(len(k), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), MEMBER, np.int8)), pa.array(k), pa.array(d), pa.array(x), none, none, none, none], names=["kind", *_HULLS, "agree"])
+
     def _pairs(a, la, b, lb):
         """Summed up by document pair: hulls of the windows and the hash functions that agree."""
         if not len(a):
@@ -199,10 +223,140 @@ def _collisions(rows: DataFrame) -> DataFrame:
             frame[f"h{i}"] = (lb & 15) == i
         got = frame.groupby(["a", "b"], sort=False).agg(lo_a=("lo_a", "min"), hi_a=("hi_a", "max"), lo_b=("lo_b", "min"), hi_b=("hi_b", "max"), **{f"h{i}": (f"h{i}", "max") for i in range(HASHES)}).reset_index()
         agree = sum(got[f"h{i}"].to_numpy().astype(np.int64) << i for i in range(HASHES))
-        yield pa.RecordBatch.from_arrays([*(pa.array(got[c].to_numpy()) for c in ("a", "b", "lo_a", "hi_a", "lo_b", "hi_b")), pa.array(agree)], names=["a", "b", "lo_a", "hi_a", "lo_b", "hi_b", "agree"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), PAIR, np.int8)), *(pa.array(got[c].to_numpy()) for c in _HULLS), pa.array(agree)], names=["kind", *_HULLS, "agree"])
+
+    return rows.repartition("key").mapInArrow(run, "kind byte, a long, b long, lo_a long, hi_a long, lo_b long, hi_b long, agree long")
+
+
+def _hulls(pairs: DataFrame, *more) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.min("lo_a").alias("lo_a"), F.max("hi_a").alias("hi_a"), F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b"), *more)
+
+
+def _across(docs: DataFrame, members: DataFrame, spans: DataFrame, words: int, width: int) -> DataFrame:
+    """Of the members (key, doc_id, loc) of large buckets, pairs of documents with hulls, by which what no span (doc_id, s, e)
+    covers is found in a smaller document."""
+    spans = spans.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    place, reach = F.shiftright("loc", 32), lambda bits: F.least(F.shiftright("loc", bits).bitwiseAND(_REACH), F.lit(width - 1))
+    placed = members.select("key", "doc_id", (place - reach(18)).alias("lo"), (place + reach(4)).alias("hi"))
+    covered = F.coalesce(F.exists("spans", lambda x: (x["s"] <= F.col("lo")) & (x["e"] >= F.col("hi"))), F.lit(False))
+    placed = placed.join(spans, "doc_id", "left").select("key", "doc_id", "lo", "hi", (~covered).alias("open"))
+    tiles = placed.groupBy("key").agg(F.max("open").alias("open"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("size")).where("open and least < most")
+    placed = placed.join(tiles.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "key")
+    placed = placed.groupBy("doc_id").agg(F.collect_set(F.struct("key", "lo", "hi", "tiles")).alias("windows"))
+    rows = docs.join(placed, "doc_id").join(spans, "doc_id", "left").select("doc_id", "text", "windows", "spans")
+
+    def contexts(batches: Iterator[pa.RecordBatch]):
+        names = ["key", "i", "j", "mine", "doc", "lo", "tokens", "open"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        for batch in batches:
+            out: list[tuple] = []
+            for r in range(batch.num_rows):
+                doc, text, windows, known = (batch.column(c)[r].as_py() for c in range(4))
+                tokens = (shingles(word_hashes(text), words) >> np.uint64(32)).astype(np.uint32)
+                free = np.ones(len(tokens), np.uint8)
+                for x in known or ():
+                    free[x["s"] : x["e"] + 1] = 0
+                share = int(mix(np.array([doc], np.int64).view(np.uint64))[0])
+                for w in windows:
+                    part, rest = tokens[w["lo"] : w["hi"] + 1].tobytes(), free[w["lo"] : w["hi"] + 1]
+                    mine, rest = share % w["tiles"], np.packbits(rest).tobytes()
+                    out += [(w["key"], min(mine, t), max(mine, t), mine, doc, w["lo"], part, rest) for t in range(w["tiles"])]
+                if len(out) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+        release()
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            key, i, j, mine, doc, lo = (t.column(c).to_numpy() for c in range(6))
+            tokens, free = t.column(6).combine_chunks(), t.column(7).combine_chunks()
+            order = np.lexsort((lo, doc, j, i, key))
+            k = np.stack((key, i, j), axis=1)[order]
+            first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1))))
+            ends, at = np.append(first[1:], len(order)), 0
+            while at < len(first):  # whole groups, a bounded number of rows at once
+                to = max(at + 1, int(np.searchsorted(ends, first[at] + CHUNK, "right")))
+                rows = order[first[at] : ends[to - 1]]
+                group = np.repeat(np.arange(to - at), ends[at:to] - first[at:to])
+                side = np.where(i[rows] == j[rows], -1, mine[rows])
+                data = [np.frombuffer(x, np.uint32) for x in tokens.take(pa.array(rows)).to_pylist()]
+                rest = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(d)).astype(bool) for x, d in zip(free.take(pa.array(rows)).to_pylist(), data)]
+                found = tile_links(group, side, doc[rows], data, rest, width)
+                if found:
+                    x, y = (rows[np.array(c)] for c in zip(*found))
+                    size = np.array([(len(data[a]), len(data[b])) for a, b in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[x], doc[y], lo[x], lo[x] + size[:, 0] - 1, lo[y], lo[y] + size[:, 1] - 1)], names=_HULLS)
+                at = to
+        release()
 
-    found = rows.repartition("key").mapInArrow(run, "a long, b long, lo_a long, hi_a long, lo_b long, hi_b long, agree long")
-    return found.groupBy("a", "b").agg(F.min("lo_a").alias("lo_a"), F.max("hi_a").alias("hi_a"), F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b"), F.bit_or("agree").alias("agree"))
+    tiled = rows.mapInArrow(contexts, "key long, i int, j int, mine int, doc long, lo long, tokens binary, open binary").repartition("key", "i", "j")
+    return _hulls(tiled.mapInArrow(run, "a long, b long, lo_a long, hi_a long, lo_b long, hi_b long"))
+
+
+def tile_links(group, side, doc, tokens: list[np.ndarray], free: list[np.ndarray], width: int) -> list[tuple[int, int]]:
+    """Rows (x, y) of one group, the document of x being the smaller: x holds a passage similar to one of y's with tokens that are
+    free in y and not in those of a smaller x.  Rows come by (group, doc); side: -1, or rows of two sides that meet only each other."""
+    need = int(np.ceil(1.6 * width / 1.8 - 1e-9))
+    size = np.array([len(t) for t in tokens])
+    row = np.repeat(np.arange(len(tokens)), size)
+    code = (group[row].astype(np.uint64) << np.uint64(32)) | np.concatenate(tokens)
+    open_ = np.concatenate(free)
+    while True:  # tokens that one document holds alone link nothing, nor do rows of too few others
+        order = np.lexsort((doc[row], code))
+        c, d = code[order], doc[row][order]
+        new_code = np.concatenate(([True], c[1:] != c[:-1]))[: len(c)]
+        new = np.concatenate(([True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])))[: len(c)]
+        held = np.zeros(len(code), bool)
+        if len(c):
+            at = np.flatnonzero(new_code)
+            held[order] = np.repeat(np.add.reduceat(new.astype(np.int64), at) > 1, np.diff(np.append(at, len(c))))
+        keep = held & (np.bincount(row[held], minlength=len(tokens)) >= need)[row]
+        if keep.all():
+            break
+        row, code, open_ = row[keep], code[keep], open_[keep]
+    out: list[tuple[int, int]] = []
+    if not len(row):
+        return out
+    edge = np.flatnonzero(np.diff(group[row])) + 1  # rows come by group
+    for lo, hi in zip(np.concatenate(([0], edge)), np.append(edge, len(row))):
+        r, c, o = row[lo:hi], code[lo:hi], open_[lo:hi]
+        if not o.any():
+            continue
+        rows, local = np.unique(r, return_inverse=True)
+        _, term = np.unique(c, return_inverse=True)
+        pairs = np.unique(term.astype(np.int64) * len(rows) + local)
+        term_of, lists = pairs // len(rows), pairs % len(rows)
+        start = np.searchsorted(term_of, np.arange(term_of[-1] + 2))
+        begin = np.searchsorted(local, np.arange(len(rows) + 1))
+
+        def count(terms):
+            terms = np.unique(terms)
+            return np.bincount(np.concatenate([lists[start[t] : start[t + 1]] for t in terms]), minlength=len(rows)) if len(terms) else np.zeros(len(rows), np.int64)
+
+        for y in range(len(rows)):
+            mine, rest = slice(begin[y], begin[y + 1]), free[rows[y]].copy()
+            if not o[mine].any():
+                continue
+            fits = (doc[rows] < doc[rows[y]]) & (count(term[mine]) >= need)
+            if side[rows[y]] >= 0:
+                fits &= side[rows] != side[rows[y]]
+            for x in np.flatnonzero(fits & (count(term[mine][o[mine]]) > 0)):
+                shared = np.isin(tokens[rows[y]], tokens[rows[x]])
+                if not (shared & rest).any():
+                    continue
+                spans = similar_spans(tokens[rows[x]], tokens[rows[y]], width)
+                if any((rest & shared)[s : e + 1].any() for s, e, _ in spans):
+                    out.append((rows[x], rows[y]))
+                    for s, e, _ in spans:
+                        rest[s : e + 1] = False
+                    if not rest.any():
+                        break
+    return out
 
 
 def similar_spans(a: np.ndarray, b: np.ndarray, width: int, similarity: float = 0.8) -> list[tuple[int, int, float]]:
@@ -252,7 +406,7 @@ def _aligned_runs(a: np.ndarray, b: np.ndarray, width: int, need: int, similarit
     count = right - left
     in_b = np.repeat(np.arange(len(b)), count)
     in_a = order[np.arange(len(in_b)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)]
-    found = []
+    found, done = [], np.zeros(max(0, len(b) - width + 1), bool)  # done: passages that a band has found
     for offset in (0, BAND):  # bands overlap by half, so that a shift that moves by less than BAND stays in one
         band = (in_a - in_b + len(b) + offset) // (2 * BAND)
         by = np.lexsort((in_b, band))
@@ -263,13 +417,14 @@ def _aligned_runs(a: np.ndarray, b: np.ndarray, width: int, need: int, similarit
             matched = np.zeros(len(b) + 1, np.int64)
             matched[np.unique(y) + 1] = 1
             total = np.cumsum(matched)
-            for s in np.flatnonzero(total[width:] - total[:-width] >= need).tolist():
+            for s in np.flatnonzero((total[width:] - total[:-width] >= need) & ~done).tolist():
                 i, k = np.searchsorted(y, [s, s + width])
                 here, there = np.unique(b[y[i] : y[k - 1] + 1]), np.unique(a[x[i:k].min() : x[i:k].max() + 1])
                 both = len(np.intersect1d(here, there, assume_unique=True))
                 j = both / (len(here) + len(there) - both)
                 if y[k - 1] - y[i] + 1 >= need and j >= similarity:
                     found.append((int(y[i]), int(y[k - 1]), j))
+                    done[s] = True
     out: list[tuple[int, int, float]] = []
     for s, e, j in sorted(found):
         if out and s <= out[-1][1]:
@@ -279,12 +434,8 @@ def _aligned_runs(a: np.ndarray, b: np.ndarray, width: int, need: int, similarit
     return out
 
 
-def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, hashes: int = HASHES, needed: int = NEEDED) -> DataFrame:
-    """doc_id, source_doc_id, start_word, n_words, similarity: the spans of words that repeat a passage of an earlier document."""
-    width = min_words - words + 1
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    pairs = cut(_collisions(window_rows(docs, words, min_words, hashes)).where(F.bit_count("agree") >= needed), gather=True)
-
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, width: int) -> DataFrame:
+    """The spans of pairs (written already) with their hulls."""
     # one slice for each document that takes part: the hull of its windows
     sides = pairs.select(F.col("a").alias("doc_id"), F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi")).union(pairs.select("b", "lo_b", "hi_b"))
     hulls = cut(sides.groupBy("doc_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), gather=True)
@@ -312,6 +463,16 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_
 
     schema = "doc_id long, source_doc_id long, start_word long, n_words long, similarity double"
     spans = both.select("a", "b", "lo_a", "hi_a", "lo_b", "hi_b", "from_a", "from_b", "part_a", "part_b").mapInArrow(verify, schema)
+    return spans
+
+
+def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, hashes: int = HASHES, needed: int = NEEDED) -> DataFrame:
+    """doc_id, source_doc_id, start_word, n_words, similarity: the spans of words that repeat a passage of an earlier document."""
+    width = min_words - words + 1
+    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    found = cut(_collisions(window_rows(docs, words, min_words, hashes)))
+    pairs = cut(_hulls(found.where(F.col("kind") == PAIR), F.bit_or("agree").alias("agree")).where(F.bit_count("agree") >= needed), gather=True)
+    spans = cut(_verified(docs, pairs, words, width), gather=True)
 
     # exact copies, whole: an aggregate over the text's hash
     def n_words(batches: Iterator[pa.RecordBatch]):
@@ -325,7 +486,15 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, min_words: int = MIN_
     long = first.join(counted.withColumnRenamed("doc_id", "source_doc_id"), "source_doc_id").where(F.col("n_words") >= min_words)
     copies = marked.join(long, "h").where("doc_id <> source_doc_id").select("doc_id", "source_doc_id", F.lit(0).cast("long").alias("start_word"), "n_words", F.lit(1.0).alias("similarity"))
 
-    return spans.union(copies).groupBy("doc_id", "source_doc_id", "start_word", "n_words").agg(F.max("similarity").alias("similarity"))
+    spans = spans.union(cut(copies, gather=True))
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()  # the shuffles so far are no longer read; Spark deletes their files when the driver's garbage goes
+    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("lo_a").alias("loc"))
+    known = spans.select("doc_id", F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words") - words).alias("e")).distinct()
+    more = cut(_across(docs, members, known, words, width), gather=True)
+    spans = spans.union(_verified(docs, more, words, width))
+
+    return spans.groupBy("doc_id", "source_doc_id", "start_word", "n_words").agg(F.max("similarity").alias("similarity"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

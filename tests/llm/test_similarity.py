@@ -183,3 +183,16 @@ def test_smallest_copy_is_a_source(spark):
     got = {(r["doc_id"], r["source_doc_id"]): (r["start_word"], r["n_words"]) for r in substring_dedup.repeated_passages(rows).collect()}
     assert got[12, 10] == (0, 160)
     assert abs(got[11, 10][0] - 60) <= 2 and abs(got[11, 10][1] - 80) <= 4
+
+
+@pytest.mark.parametrize("tile", [8, 4096])
+def test_repeats_behind_holders_of_the_min_hash(spark, monkeypatch, tile):
+    """Smaller documents hold pieces of the passage, too short to count, and so take its buckets."""
+    monkeypatch.setattr(substring_dedup, "TILE", tile)
+    rng = random.Random(13)
+    p = prose(60, rng)
+    rows = [(i, " ".join(prose(60, rng) + p[x : x + 20] + prose(60, rng))) for i, x in enumerate([*range(0, 41, 2)] * 2)]
+    rows += [(i, " ".join(prose(60, rng) + p + prose(60, rng))) for i in (100, 101, 102)]
+    got = spans_of(spark, rows)
+    assert set(got) == {101, 102}
+    assert covers(got[101], 60, 120) and covers(got[102], 60, 120)
