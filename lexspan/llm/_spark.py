@@ -44,6 +44,22 @@ def cut(df: DataFrame, gather: bool = False) -> DataFrame:
     return out.coalesce(max(1, -(-out.count() // PART_ROWS))) if gather else out
 
 
+#: Rows of one key that a task joins at most about, and keys with more rows than that at most.
+SPLIT, HOT_KEYS = 64, 100_000
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+    """rows (written already) joined with side, which has one row for each key.  The rows of a key with many are dealt by the column by to
+    several tasks, each with a copy of the key's row in side.  The keys so split are broadcast: at most HOT_KEYS, as one has more than a
+    HOT_KEYS-th of all rows."""
+    most = max(SPLIT, -(-rows.count() // HOT_KEYS))
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    right = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def held_out():
     """True for the fifth of documents that no model may learn from; an id of null counts as held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))

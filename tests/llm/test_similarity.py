@@ -196,3 +196,97 @@ def test_repeats_behind_holders_of_the_min_hash(spark, monkeypatch, tile):
     got = spans_of(spark, rows)
     assert set(got) == {101, 102}
     assert covers(got[101], 60, 120) and covers(got[102], 60, 120)
+
+
+def test_exact_passages_behind_their_parts(spark):
+    """60 times: documents 5 and 9 share 52 words, of which 1 and 2 hold the first and the last 29."""
+    rng = random.Random(14)
+    rows, at = [], {}
+    for g in range(60):
+        p = prose(52, rng)
+        for i, part in ((1, p[:29]), (2, p[-29:]), (5, p), (9, p)):
+            before = prose(rng.randint(5, 80), rng)
+            rows.append((10 * g + i, " ".join(before + part + prose(rng.randint(5, 80), rng))))
+            at[10 * g + i] = len(before)
+    got = spans_of(spark, rows)
+    assert set(got) == {10 * g + 9 for g in range(60)}
+    assert all(covers(got[i], at[i], at[i] + 52) for i in got)
+
+
+def test_the_same_passages_in_another_order(spark):
+    rng = random.Random(15)
+    p, q = prose(60, rng), prose(60, rng)
+    rows = [(1, " ".join(p)), (2, " ".join(p + q)), (3, " ".join(q + p)), (4, " ".join(p + p)), (5, " ".join(prose(9, rng) + q))]
+    got = spans_of(spark, rows)
+    assert set(got) == {2, 3, 4, 5}
+    assert covers(got[2], 0, 60) and covers(got[3], 0, 60) and covers(got[3], 60, 120) and covers(got[4], 0, 60) and covers(got[4], 60, 120) and covers(got[5], 9, 69)
+
+
+def random_corpus(rng, near):
+    """Documents of prose with passages, parts of passages, passages inside passages and changed ones."""
+    shared = [prose(n, rng) for n in (50, 53, 60, 75, 120, 200)]
+    shared += [shared[5][20:75], shared[4][30:] + shared[3], shared[0] + prose(2, rng) + shared[1]]
+    rows = []
+    for i in range(140):
+        parts = [prose(rng.randint(0, 90), rng)]
+        for p in rng.sample(shared, rng.randint(0, 3)):
+            if rng.random() < 0.4:
+                lo = rng.randint(0, len(p) - 20)
+                p = p[lo : lo + rng.randint(20, 120)]
+            parts += [edited(p, rng.randint(0, len(p) // 50), rng) if near else p, prose(rng.randint(0, 60), rng)]
+        rows.append((i, " ".join(sum(parts, []))))
+    return rows
+
+
+def brute_passages(rows):
+    """For each document the starts of its 46 shingles that an earlier document repeats exactly, and at similarity 0.8 or more."""
+    ids, exact, near = {}, {}, {}
+    tokens = {}
+    for i, text in rows:
+        w = words(text)
+        tokens[i] = np.array([ids.setdefault(tuple(w[k : k + 5]), len(ids)) for k in range(len(w) - 4)], np.int64)
+    for i, b in tokens.items():
+        exact[i], near[i] = set(), set()
+        for j, a in tokens.items():
+            if j >= i or len(a) < 46 or len(b) < 46:
+                continue
+            place = {t: k for k, t in enumerate(a.tolist())}
+            shifts = {place[t] - k for k, t in enumerate(b.tolist()) if t in place}
+            for shift in shifts:
+                for s in range(max(0, -shift), min(len(b), len(a) - shift) - 45):
+                    x, y = a[s + shift : s + shift + 46], b[s : s + 46]
+                    if x[45] != y[45] and x[0] != y[0] and x[23] != y[23]:
+                        continue
+                    both = len(np.intersect1d(x, y))
+                    if both == 46:
+                        exact[i].add(s)
+                    if both >= 0.8 * (92 - both):
+                        near[i].add(s)
+    return exact, near
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_passages_against_brute_force(spark, near):
+    rows = random_corpus(random.Random(16), near)
+    got = spans_of(spark, rows)
+    exact, similar = brute_passages(rows)
+    held = {i: {k for a, b, _ in spans for k in range(a, b)} for i, spans in got.items()}
+    assert sum(map(len, exact.values())) > 1000
+    lost = [(i, s) for i in exact for s in exact[i] if not held.get(i, set()) >= set(range(s, s + 50))]
+    assert not lost, lost
+    wide = [(i, s) for i in similar for s in similar[i]]
+    recall = sum(held.get(i, set()) >= set(range(s + 5, s + 45)) for i, s in wide) / len(wide)
+    assert recall >= 0.97, recall
+    assert all(similar[i] for i in got)  # no document without a repeat is reported
+    shuffled = random.Random(17).sample(rows, len(rows))
+    assert held == {i: {k for a, b, _ in spans for k in range(a, b)} for i, spans in spans_of(spark, shuffled).items()}
+
+
+def test_tile_links_without_common_tokens():
+    tokens = np.arange(3 * 81, dtype=np.uint32).reshape(3, 81)
+    x, y = substring_dedup.tile_links(np.zeros(3, np.int64), np.arange(3), tokens, np.ones((3, 81), bool), 46)
+    assert len(x) == len(y) == 0
+    tokens[2] = tokens[0]
+    tokens[2, 60] = 7777
+    x, y = substring_dedup.tile_links(np.zeros(3, np.int64), np.arange(3), tokens, np.ones((3, 81), bool), 46)
+    assert (x.tolist(), y.tolist()) == ([0], [2])
