@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ def cut(df: DataFrame, gather: bool = False) -> DataFrame:
 SPLIT, HOT_KEYS = 64, 100_000
 
 
-def salted_join(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+def salted_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
     """rows (written already) joined with side, which has one row for each key.  The rows of a key with many are dealt by the column by to
     several tasks, each with a copy of the key's row in side.  The keys so split are broadcast: at most HOT_KEYS, as one has more than a
     HOT_KEYS-th of all rows."""
@@ -57,7 +59,39 @@ def salted_join(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFram
     salts = F.coalesce("_salts", F.lit(1))
     left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
     right = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """The first row of each group of equal rows."""
+    fresh = np.zeros(len(columns[0]), bool)
+    fresh[:1] = True
+    for c in columns:
+        fresh[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(fresh)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], group: int, size: int):
+    """(table, whole) of about size rows from batches sorted by their first columns, as many as group says, cut between groups.  A group longer
+    than size comes in several tables of its own, which aren't whole."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < size:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        same = np.ones(n, bool)
+        for i in range(group):
+            c = t.column(i).to_numpy()
+            same &= c == c[-1]
+        to = n - int(same.sum())
+        yield (t.slice(0, to), True) if to else (t, False)
+        held = t.slice(to).to_batches() if to else []
+        n = sum(b.num_rows for b in held)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks(), True
 
 
 def held_out():

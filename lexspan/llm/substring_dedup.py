@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, release, salted_join, table
+from ._spark import chunks, cut, release, salted_join, starts, table
 from ._text import mix, shingles, word_hashes
 
 WORDS = 5
@@ -128,21 +128,12 @@ def block_keys(tokens: np.ndarray, width: int, hashes: int = HASHES) -> tuple[np
     return mix(key).astype(np.int64), at
 
 
-def _starts(*columns: np.ndarray) -> np.ndarray:
-    """The first row of each group of equal rows."""
-    fresh = np.zeros(len(columns[0]), bool)
-    fresh[:1] = True
-    for c in columns:
-        fresh[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(fresh)
-
-
 def _meetings(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray) -> tuple:
     """Meetings of documents a and b at places, joined by shift: a, b, shift, first and last place in b."""
     shift = pa_ - pb
     order = np.lexsort((pb, shift, b, a))
     a, b, shift, pb = a[order], b[order], shift[order], pb[order]
-    at = _starts(a, b, shift)
+    at = starts(a, b, shift)
     return a[at], b[at], shift[at], pb[at], pb[np.append(at[1:], len(pb)) - 1] if len(at) else pb[:0]
 
 
@@ -162,7 +153,7 @@ def _batches(kind: int, key, doc, at, doc_b=None, lo=None, hi=None):
 def _stars(key, doc, at, stands, head=None):
     """Of rows by (key, doc, at): which groups have three documents or more, or two with a row that stands for others; the groups' first rows;
     for each row its group's size class and the first row's document and place.  head: that of the first group, if it began earlier."""
-    first = _starts(key)
+    first = starts(key)
     size = np.diff(np.append(first, len(key)))
     docs = np.add.reduceat(np.concatenate(([1], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))).astype(np.int64), first)
     large = (docs >= 3) | (np.logical_or.reduceat(stands, first) & (docs >= 2))
@@ -219,29 +210,6 @@ def window_rows(docs: DataFrame, words: int, min_words: int, hashes: int) -> Dat
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, _ROW)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], group: int, size: int):
-    """(table, whole) of about size rows from batches sorted by their first columns, as many as group says, cut between groups.  A group longer
-    than size comes in several tables of its own, which aren't whole."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n < size:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        same = np.ones(n, bool)
-        for i in range(group):
-            c = t.column(i).to_numpy()
-            same &= c == c[-1]
-        to = n - int(same.sum())
-        yield (t.slice(0, to), True) if to else (t, False)
-        held = t.slice(to).to_batches() if to else []
-        n = sum(b.num_rows for b in held)
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks(), True
-
-
 def _collisions(rows: DataFrame) -> DataFrame:
     """PAIR rows (a, b, shift, places in b) of documents that meet, each window meeting that of the smallest document of its bucket, and
     MEMBER rows (window, bucket) of the buckets with more than two documents."""
@@ -274,7 +242,7 @@ def _clusters(meetings: DataFrame, width: int) -> DataFrame:
         for t, _ in chunks(batches, 2, HOLD):
             a, b, shift, lo, hi = (t.column(i).to_numpy().astype(np.int64) for i in range(5))
             band = np.zeros(len(a), np.int64)
-            at = _starts(a, b)
+            at = starts(a, b)
             base = np.repeat(shift[at], np.diff(np.append(at, len(a))))  # shifts are sorted within a pair
             new = np.zeros(len(a), bool)
             new[at] = True
@@ -414,7 +382,7 @@ def _across(docs: DataFrame, members: DataFrame, spans: DataFrame, words: int, w
     def run(batches: Iterator[pa.RecordBatch]):
         for t, _ in chunks(batches, 3, CHUNK):
             key, i, j, doc, at = (t.column(c).to_numpy() for c in range(5))
-            first = _starts(key, i, j)
+            first = starts(key, i, j)
             group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
             tokens = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint32).reshape(len(key), -1)
             free = np.unpackbits(np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(len(key), -1), axis=1, count=length).astype(bool)
@@ -442,13 +410,13 @@ def tile_links(group: np.ndarray, doc: np.ndarray, tokens: np.ndarray, free: np.
     xs, ys = [], []
     alive = np.ones(len(group), bool)
     while True:  # tokens that one document of a group holds alone link nothing, nor do rows with too few others
-        r, c = np.nonzero(real & alive[:, None])
+        r, c = np.divmod(np.flatnonzero(real & alive[:, None]), tokens.shape[1])
         code, d = (group[r].astype(np.uint64) << np.uint64(32)) | tokens[r, c], doc[r]
         order = np.lexsort((d, code))
         code, d = code[order], d[order]
         held = np.zeros(tokens.shape, bool)
         if len(code):
-            at = _starts(code)
+            at = starts(code)
             ends = np.append(at[1:], len(code)) - 1
             several = np.repeat(d[at] != d[ends], np.diff(np.append(at, len(code))))
             held[r[order[several]], c[order[several]]] = True
@@ -471,7 +439,7 @@ def tile_links(group: np.ndarray, doc: np.ndarray, tokens: np.ndarray, free: np.
         h = (mixed[whole, o : o + width] * _COEF[:width]).sum(1, dtype=np.uint64) ^ mix(group[some].astype(np.uint64))
         order = np.lexsort((some, h))
         h, some = h[order], some[order]
-        at = _starts(h)
+        at = starts(h)
         centre = np.repeat(some[at], np.diff(np.append(at, len(h))))
         new = (doc[some] != doc[centre]) & free[some, o : o + width].any(1)
         xs.append(centre[new])

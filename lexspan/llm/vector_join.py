@@ -1,47 +1,64 @@
 """Near-duplicate vectors: an exact cosine join by the pigeonhole over subspaces.
 
-Vectors are scaled to length 1 and turned by one fixed random rotation, which
-keeps distances; a cosine of at least c is a squared distance of at most
-2 - 2c.  The rotated coordinates fall into `SUBSPACES` blocks; in at least one
-block two such vectors are within the block's proportional share of that budget.
-Each block is a range join of its own: points go to cells of a tree of median
-splits along the block's own axes, cells whose boxes are farther apart than the
-share are never compared, and inside a pair of cells only points within the
-share are verified, exactly and in double precision.  A pair is counted in the
-first block that finds it, so the union needs no deduplication.
-
-Skew.  Cells are cut into tiles of a bounded number of points, so a cell that
-holds a third of all vectors is many tiles.  Tiles return link counts and a
-spanning forest of their links, never all pairs.
-
-Defined results: vectors that are null, zero, of another dimension than the most
-common one, or hold null or non-finite components link with nothing; repeated
-rows are vectors of their own that link with each other; a row without an id
-has no component.
+Equal vectors are one class, found by an aggregate with map-side combining, so a
+vector that a third of all rows hold is one point with a weight.  Points are
+scaled to length 1 and turned by one fixed random rotation, which keeps
+distances; a cosine of at least c is a squared distance of at most 2 - 2c.  The
+rotated coordinates fall into `SUBSPACES` blocks; in at least one block two such
+points are within the block's proportional share of that budget.  Each block is
+a range join of its own: a grid over the block's first axes has cells as wide as
+the share reaches, so partners lie in the same or in neighbouring cells.  A point
+is at home in its cell and visits the neighbouring cells before it; inside a cell
+only pairs within the block's share are looked at further, and the cosine
+decides.  A pair is counted in the first block that finds it, so the union needs
+no deduplication.  The more points there are, the more axes the grid has, and the
+smaller is the share of pairs that meet.
+
+The coordinates that travel are single precision; where they leave a cosine
+within `BORDER` of the bound, the pair's own vectors decide in double precision.
+
+Skew.  Cells are cut into tiles of a bounded number of points, by joins with the
+cells' sizes; nothing on the driver grows with the input.  Tiles compare in
+blocks and give link counts and a spanning forest of their links, never all
+pairs.
+
+Defined results: vectors that are null, empty, zero, of another dimension than
+the most common one, or hold null or non-finite components link with nothing;
+repeated rows are vectors of their own that link with each other; so are rows of
+one id and different vectors; a row without an id has no component.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, share, table
+from ._spark import chunks, cut, release, salted_join, starts, table
 from .components import components, forest
 
 COSINE = 0.95
-SUBSPACES = 4
-#: Points of a tile, at most about; points that the trees' splits are fitted on, at most about.
-TILE_MIN, TILE_MAX = 512, 8192
-SAMPLE = 20_000
-SLACK = 1e-6
-
-
-def finite_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and v (doubles as bytes) of the rows whose vector has only finite components."""
+SUBSPACES = 8
+#: Points of a tile, at most about; axes of a block's grid, at most.
+TILE = 32_768
+AXES = 4
+#: Cells that an axis has in effect: the grid has as many axes as make its cells smaller than a tile.
+PER_AXIS = 4.6
+#: Points of a tile that are compared with as many others at once.
+BLOCK = 1024
+#: Rows of a table that is broadcast at most; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
+SLACK, BORDER = 1e-6, 1e-5
+LINKS, EDGE, CLOSE = 0, 1, 2
+
+
+def finite_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: bool = False) -> DataFrame:
+    """vec_id and v (doubles as bytes) of the rows whose vector has only finite components; every: of all rows, v null for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -51,7 +68,8 @@ def finite_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
                 out.append(None if x is None or not len(x) or not np.isfinite(x).all() else x.tobytes())
             yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], names=["vec_id", "v"])
 
-    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "vec_id long, v binary").where("vec_id is not null and v is not null")
+    made = vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "vec_id long, v binary")
+    return made if every else made.where("vec_id is not null and v is not null")
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -59,180 +77,151 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-class Cells:
-    """A tree of median splits over one block of coordinates.  Boxes are open at the outside."""
-
-    def __init__(self, sample: np.ndarray, leaves: int):
-        self.axis: list[int] = []
-        self.value: list[float] = []
-        self.child: list[tuple[int, int]] = []
-        self.boxes: list[tuple[np.ndarray, np.ndarray]] = []
-        dim = sample.shape[1]
-        self.root = self._grow(sample, leaves, np.full(dim, -np.inf), np.full(dim, np.inf))
-
-    def _grow(self, x: np.ndarray, leaves: int, lo: np.ndarray, hi: np.ndarray) -> int:
-        """Numbers of inner nodes are from 0, of leaves from -1 down."""
-        spread = np.ptp(x, axis=0) if len(x) > 1 else np.zeros(x.shape[1])
-        if leaves <= 1 or not spread.max() > 0:
-            self.boxes.append((lo, hi))
-            return -len(self.boxes)
-        axis = int(np.argmax(spread))
-        at = float(np.median(x[:, axis]))
-        left = x[:, axis] < at
-        if not left.any():
-            at = float(x[:, axis].max())
-            left = x[:, axis] < at
-        node = len(self.axis)
-        self.axis.append(axis)
-        self.value.append(at)
-        self.child.append((0, 0))
-        below, above = hi.copy(), lo.copy()
-        below[axis] = above[axis] = at
-        self.child[node] = (self._grow(x[left], leaves // 2, lo, below), self._grow(x[~left], leaves - leaves // 2, above, hi))
-        return node
-
-    def place(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row of x, from 0."""
-        out = np.empty(len(x), dtype=np.int64)
-        todo = [(self.root, np.arange(len(x)))]
-        while todo:
-            node, rows = todo.pop()
-            if node < 0:
-                out[rows] = -node - 1
-            elif len(rows):
-                left = x[rows, self.axis[node]] < self.value[node]
-                todo += [(self.child[node][0], rows[left]), (self.child[node][1], rows[~left])]
-        return out
-
-    def near(self, reach: float) -> list[tuple[int, int]]:
-        """Pairs of leaves (i <= j) whose boxes are within reach."""
-        lo, hi = np.stack([b[0] for b in self.boxes]), np.stack([b[1] for b in self.boxes])
-        out = []
-        for i in range(len(lo)):
-            gap = np.clip(np.maximum(lo[i:] - hi[i], lo[i] - hi[i:]), 0, None)
-            out += [(i, i + int(j)) for j in np.flatnonzero((gap * gap).sum(1) <= reach * reach)]
-        return out
-
-
-def _links(ids, x, mine, within, block, width, budget, cosine):
-    """Links of the points of one tile, or between two: positions of both ends."""
-    left = np.arange(len(ids)) if within else np.flatnonzero(mine == 0)
-    right = left if within else np.flatnonzero(mine == 1)
-    part = x[:, block * width : (block + 1) * width].astype(np.float32)
-    norm = (part * part).sum(1)
-    us, vs = [], []
-    for p in range(0, len(left), 1024):
-        a = left[p : p + 1024]
-        for q in range(p if within else 0, len(right), 1024):
-            b = right[q : q + 1024]
-            far = norm[a][:, None] + norm[b][None, :] - 2 * (part[a] @ part[b].T)
-            u, v = np.nonzero(far <= budget + 1e-4)  # single precision only proposes
-            if within and p == q:
-                u, v = u[u < v], v[u < v]
-            us.append(a[u])
-            vs.append(b[v])
-    u, v = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (us, vs))
-    keep = []
-    for at in range(0, len(u), 1 << 16):
-        a, b = u[at : at + (1 << 16)], v[at : at + (1 << 16)]
-        diff = x[a] - x[b]
-        far = (diff * diff).reshape(len(a), -1, width).sum(2)
-        ok = (far[:, block] <= budget) & ~(far[:, :block] <= budget).any(1)
-        keep.append(ok)
-    ok = np.concatenate(keep) if keep else np.empty(0, bool)
-    return u[ok], v[ok]
+def sized(x: np.ndarray) -> np.ndarray:
+    """The rows' lengths, without overflow."""
+    top = np.abs(x).max(1)
+    return np.linalg.norm(x / np.maximum(top, 1e-300)[:, None], axis=1) * top
+
+
+def grid_axes(n: int, width: int) -> int:
+    """Axes of a block's grid for n points."""
+    return int(np.clip(1 + np.log(max(1.0, n / TILE)) // np.log(PER_AXIS), 1, min(AXES, width)))
+
+
+def cells(x: np.ndarray, block: int, axes: int, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The cell of each point (its block's coordinates in x), and the neighbouring cells before it."""
+    place = np.floor(x[:, :axes].astype(np.float64) / reach).astype(np.int64) + (1 << 11)
+    unit = np.array([1 << (12 * k) for k in range(axes)], np.int64)
+    own = place @ unit + (block << 52)
+    steps = [int(np.dot(step, unit)) for step in itertools.product((-1, 0, 1), repeat=axes)]
+    return own, [own + step for step in steps if step < 0]
+
+
+def _tile_links(x, weight, part, within, block, width, budget, cosine):
+    """Links among the rows of a tile (within), and of these with the rows of another (part 1): link weights, edges, and pairs
+    that single precision can't decide."""
+    mine = x[:, block * width : (block + 1) * width]
+    half = (mine.astype(np.float64) ** 2).sum(1).astype(np.float32) / 2
+    one = np.ones(len(x), np.float32)
+    left, right = np.column_stack((mine, -half, one)), np.column_stack((mine, one, -half))
+    home, other = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
+    links = np.zeros(len(x), np.int64)
+    edges, held, open_pairs = [], 0, []
+    jobs = [(p, q, home) for p in range(0, len(home), BLOCK) for q in range(p, len(home), BLOCK)] if within else []
+    jobs += [(p, q, other) for p in range(0, len(home), BLOCK) for q in range(0, len(other), BLOCK)]
+    for p, q, those in jobs:
+        a, b = home[p : p + BLOCK], those[q : q + BLOCK]
+        u, v = np.divmod(np.flatnonzero(left[a] @ right[b].T >= -(budget + 1e-5) / 2), len(b))  # single precision only proposes
+        if those is home and p == q:
+            u, v = u[u < v], v[u < v]
+        for at in range(0, len(u), 1 << 16):
+            c, d = a[u[at : at + (1 << 16)]], b[v[at : at + (1 << 16)]]
+            y, z = x[c].astype(np.float64), x[d].astype(np.float64)
+            far = ((y - z) ** 2).reshape(len(c), -1, width).sum(2)
+            cos = (y * z).sum(1)
+            ok = (far[:, block] <= budget) & ~(far[:, :block] <= budget).any(1) & (cos >= cosine - BORDER)
+            c, d, sure = c[ok], d[ok], cos[ok] >= cosine + BORDER
+            if not sure.all():
+                open_pairs.append((c[~sure], d[~sure]))
+                c, d = c[sure], d[sure]
+            if len(c):
+                np.add.at(links, c, weight[d])
+                np.add.at(links, d, weight[c])
+                edges.append(forest(c, d))
+                held += len(edges[-1][0])
+                if held > 1 << 18:
+                    edges = [forest(*(np.concatenate(e) for e in zip(*edges)))]
+                    held = len(edges[0][0])
+    none = np.empty(0, np.int64)
+    both = lambda found: tuple(np.concatenate(e) for e in zip(*found)) if found else (none, none)
+    return links, forest(*both(edges)) if edges else (none, none), both(open_pairs)
 
 
 def linked_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors."""
     spark = vectors.sparkSession
-    clean = cut(finite_vectors(vectors, id_col, vector_col))
-    sizes = clean.groupBy(F.octet_length("v").alias("bytes")).count().orderBy(F.desc("count"), "bytes").limit(1).collect()
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
-    if not sizes:
-        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    n, dim = sizes[0]["count"], sizes[0]["bytes"] // 8
-    clean = clean.where(F.octet_length("v") == 8 * dim)
+    rows = cut(finite_vectors(vectors, id_col, vector_col, every=True).withColumn("h", F.when(F.col("vec_id").isNotNull(), F.md5("v"))))
+    sizes = rows.where("h is not null").groupBy(F.octet_length("v").alias("bytes")).count().orderBy(F.desc("count"), "bytes").limit(1).collect()
+    dim = sizes[0]["bytes"] // 8 if sizes else 1
     blocks = min(SUBSPACES, dim)
     width = -(-dim // blocks)
     budget = (2 - 2 * cosine) / blocks + SLACK
-    turn = rotation(dim)
-
-    def rotated(data: list[bytes]) -> np.ndarray:
-        """Unit vectors in rotated coordinates, filled with zeros to whole blocks; zero vectors stay zero."""
-        x = np.frombuffer(b"".join(data), np.float64).reshape(-1, dim)
-        size = np.linalg.norm(x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300), axis=1, keepdims=True) * np.abs(x).max(1, keepdims=True)
-        out = np.zeros((len(x), blocks * width))
-        out[:, :dim] = np.where(size > 0, x / np.where(size > 0, size, 1), 0) @ turn
-        return out
-
-    part = min(1.0, SAMPLE / max(1, n))
-    sample = clean.where(F.xxhash64("vec_id").bitwiseAND(0xFFFFFF) / float(1 << 24) < part).orderBy("vec_id", "v").collect() or clean.limit(1).collect()
-    sample = rotated([bytes(r["v"]) for r in sample])
-    tile = int(np.clip(n // 12, TILE_MIN, TILE_MAX))
-    leaves = int(np.clip(n // tile, 1, max(1, len(sample) // 4)))
-    trees = [Cells(sample[:, k * width : (k + 1) * width], leaves) for k in range(blocks)]
-    held = share(spark, trees)
-
-    def place(batches: Iterator[pa.RecordBatch]):
+    reach, turn = budget**0.5 + SLACK, rotation(dim)
+
+    classes = cut(rows.where(F.octet_length("v") == 8 * dim).where("h is not null").groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.any_value("v").alias("v")).withColumn("c", F.monotonically_increasing_id()))
+
+    def turned(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float64).reshape(-1, dim)
+            size = sized(x)
+            some = np.flatnonzero(size > 0)
+            y = np.zeros((len(some), blocks * width), np.float32)
+            y[:, :dim] = (x[some] / size[some, None]) @ turn
+            take = pa.array(some)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array([r.tobytes() for r in y], pa.binary())], names=["c", "id", "n", "x"])
+
+    # written, so that each point has the same coordinates wherever it is compared
+    points = cut(classes.select("c", "id", "n", "v").mapInArrow(turned, "c long, id long, n long, x binary"))
+    axes = grid_axes(points.count(), width)
+
+    def placed(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            x = rotated(batch.column(1).to_pylist())
-            rows = np.flatnonzero((x != 0).any(1))
-            for k, tree in enumerate(held.value):
-                cell = tree.place(x[rows, k * width : (k + 1) * width])
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(cell), batch.column(0).take(take), batch.column(1).take(take)], names=["block", "cell", "vec_id", "v"])
-
-    placed = clean.mapInArrow(place, "block int, cell long, vec_id long, v binary")
-    # how many tiles each cell needs: a row for each cell, as many as the trees have leaves
-    counts = {(r["block"], r["cell"]): -(-r["n"] // tile) for r in placed.groupBy("block", "cell").agg(F.count("*").alias("n")).collect()}
-    first, tiles, partners = {}, 0, []
-    for key in sorted(counts):
-        first[key] = tiles
-        tiles += counts[key]
-    pair_id = 0
-    for k, tree in enumerate(trees):
-        for i, j in tree.near(budget**0.5):
-            for p in range(counts.get((k, i), 0)):
-                for q in range(p if i == j else 0, counts.get((k, j), 0)):
-                    a, b = first[k, i] + p, first[k, j] + q
-                    partners += [(a, pair_id, 0)] if a == b else [(a, pair_id, 0), (b, pair_id, 1)]
-                    pair_id += 1
-    firsts = spark.createDataFrame([(b, c, first[b, c], t) for (b, c), t in counts.items()] or [(-1, -1, -1, 1)], "block int, cell long, first long, tiles long")
-    pairs = spark.createDataFrame(partners or [(-1, -1, 0)], "tile long, pair long, mine int")
-    rows = placed.join(F.broadcast(firsts), ["block", "cell"]).withColumn("tile", F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("tiles")))
-    rows = rows.join(F.broadcast(pairs) if len(partners) < 1_000_000 else pairs, "tile").select("pair", "block", "mine", "vec_id", "v")
+            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float32).reshape(-1, blocks * width)
+            for k in range(blocks):
+                own, before = cells(x[:, k * width : (k + 1) * width], k, axes, reach)
+                for side, cell in [(0, own), *((1, c) for c in before)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(cell), side, np.int8)), *batch.columns], names=["cell", "visits", *batch.schema.names])
+
+    near = points.mapInArrow(placed, "cell long, visits byte, c long, id long, n long, x binary")
+    count = near.groupBy("cell").agg(F.count_if(F.col("visits") == 0).alias("home"), F.count_if(F.col("visits") == 1).alias("guests")).where("home > 0")
+    tiles = count.select("cell", F.ceil(F.col("home") / TILE).cast("int").alias("t"), F.ceil(F.col("guests") / TILE).cast("int").alias("g"))
+    tiles = cut(tiles, gather=True)
+    tiles = F.broadcast(tiles) if tiles.count() <= BROADCAST_ROWS else tiles
+    single = (F.col("t") == 1) & (F.col("g") <= 1)  # one tile for the points at home and the visitors
+    mine = F.pmod(F.xxhash64("c"), F.when(F.col("visits") == 0, F.col("t")).otherwise(F.col("g"))).cast("int")
+    others = F.when(single, F.array(F.lit(0))).when(F.col("visits") == 0, F.sequence(F.lit(0), F.col("t") + F.col("g") - 1)).otherwise(F.sequence(F.lit(0), F.col("t") - 1))
+    dealt = near.join(tiles, "cell").withColumn("mine", mine).withColumn("o", F.explode(others))
+    guest = F.col("visits") == 1
+    i = F.when(single, 0).when(guest, F.col("o")).otherwise(F.least("mine", "o")).cast("int")
+    i = F.when(~single & ~guest & (F.col("o") >= F.col("t")), F.col("mine")).otherwise(i)
+    j = F.when(single, 0).when(guest, F.col("t") + F.col("mine")).when(F.col("o") >= F.col("t"), F.col("o")).otherwise(F.greatest("mine", "o")).cast("int")
+    part = F.when(guest | (~single & (F.col("mine") != i)), 1).otherwise(0).cast("byte")
+    dealt = dealt.select("cell", i.alias("i"), j.alias("j"), part.alias("part"), "c", "id", "n", "x")
 
     def join(batches: Iterator[pa.RecordBatch]):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        pair, block, mine, ids = (t.column(c).to_numpy() for c in range(4))
-        data, order = t.column(4).combine_chunks(), np.lexsort((ids, mine, pair))
-        first = np.flatnonzero(np.concatenate(([True], pair[order][1:] != pair[order][:-1])))
-        for at, to in zip(first, np.append(first[1:], len(order))):
-            at = order[at:to]
-            vectors = data.take(pa.array(at)).to_pylist()
-            x = rotated(vectors)
-            u, v = _links(ids[at], x, mine[at], not mine[at].any(), int(block[at[0]]), width, budget, cosine)
-            raw = np.frombuffer(b"".join(vectors), np.float64).reshape(-1, dim)
-            size = np.sqrt((raw * raw).sum(1))
-            sure = np.concatenate([(raw[u[p : p + 65536]] * raw[v[p : p + 65536]]).sum(1) >= cosine * size[u[p : p + 65536]] * size[v[p : p + 65536]] for p in range(0, len(u), 65536)] or [np.empty(0, bool)])
-            u, v = u[sure], v[sure]
-            if len(u):
-                n_links = np.bincount(np.concatenate((u, v)), minlength=len(at))
-                some = np.flatnonzero(n_links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at][some]), pa.array(n_links[some].astype(np.int64)), pa.array(np.zeros(len(some), np.int64)), pa.array(np.zeros(len(some), bool))], names=["a", "n", "b", "edge"])
-                a, b = ids[at][u], ids[at][v]
-                a, b = forest(a[a != b], b[a != b]) if (a != b).any() else (a[:0], b[:0])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.zeros(len(a), np.int64)), pa.array(b), pa.array(np.ones(len(a), bool))], names=["a", "n", "b", "edge"])
-
-    found = cut(rows.repartition("pair").mapInArrow(join, "a long, n long, b long, edge boolean"))
-    links = found.where("not edge").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    joined = components(found.where("edge"), "a", "b")
-    out = base.join(links, "vec_id", "left").join(joined.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        names, kinds = ["a", "n", "b", "kind"], (pa.int64(), pa.int64(), pa.int64(), pa.int8())
+        out = lambda a, n, b, kind: pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(t.to_pandas_dtype()), t) for c, t in zip((a, n, b, np.full(len(a), kind)), kinds)], names=names)
+        for t, _ in chunks(batches, 3, 4 * TILE):
+            cell, i, j, part, number, ids, n = (t.column(c).to_numpy() for c in range(7))
+            first = starts(cell, i, j)
+            for at, to in zip(first.tolist(), [*first[1:].tolist(), len(cell)]):
+                x = np.frombuffer(b"".join(t.column(7).slice(at, to - at).to_pylist()), np.float32).reshape(to - at, -1)
+                links, (a, b), (c, d) = _tile_links(x, n[at:to], part[at:to], i[at] == j[at], int(cell[at]) >> 52, width, budget, cosine)
+                some, number_, ids_ = np.flatnonzero(links), number[at:to], ids[at:to]
+                yield out(number_[some], links[some], some, LINKS)
+                yield out(ids_[a], a, ids_[b], EDGE)
+                yield out(number_[c], c, number_[d], CLOSE)
+        release()
+
+    dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "part")
+    found = cut(dealt.mapInArrow(join, "a long, n long, b long, kind byte"))
+
+    @F.pandas_udf("boolean")
+    def truly(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(c), np.float64).reshape(-1, dim) for c in (a, b))
+        return pd.Series((x / sized(x)[:, None] * (y / sized(y)[:, None])).sum(1) >= cosine)
+
+    end = lambda x: classes.select(F.col("c").alias(x), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("v").alias(f"v_{x}"))
+    close = found.where(F.col("kind") == CLOSE).select("a", "b").join(end("a"), "a").join(end("b"), "b").where(truly("v_a", "v_b"))
+    close = cut(close.select("a", "b", "id_a", "id_b", "n_a", "n_b"), gather=True)
+    counted = found.where(F.col("kind") == LINKS).select("a", "n").union(close.select("a", "n_b")).union(close.select("b", "n_a"))
+    links = counted.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("links"))
+    joined = components(found.where(F.col("kind") == EDGE).select("a", "b").union(close.select("id_a", "id_b")), "a", "b").withColumnRenamed("node", "id")
+    about = classes.select("c", "h", "id", "n").join(points.select("c"), "c", "left_semi").join(links, "c", "left").join(joined, "id", "left")
+    about = about.select("h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    made = salted_join(rows.where("h is not null").select("vec_id", "h"), about, "h", "vec_id", "left").drop("h")
+    out = made.unionByName(rows.where("h is null").select("vec_id"), allowMissingColumns=True)
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

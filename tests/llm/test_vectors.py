@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from helpers import roots
@@ -31,10 +33,11 @@ def brute_links(rows):
     return {i: (int(close[a].sum()), comp[i]) for a, (i, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("tile", [16, 512])
-def test_vector_join(spark, monkeypatch, tile):
-    monkeypatch.setattr(vector_join, "TILE_MIN", tile)
-    monkeypatch.setattr(vector_join, "SAMPLE", 300)
+@pytest.mark.parametrize("tile,block", [(16, 7), (100, 1024), (32_768, 1024)])
+def test_vector_join(spark, monkeypatch, tile, block):
+    """Cells of one tile and of several, and a hot vector."""
+    monkeypatch.setattr(vector_join, "TILE", tile)
+    monkeypatch.setattr(vector_join, "BLOCK", block)
     rows = clustered() + [(700 + i, [1.0] * 8) for i in range(60)]
     got = {r["vec_id"]: r for r in vector_join.linked_vectors(frame(spark, rows + ODD)).collect()}
     assert {i: (got[i]["n_links"], got[i]["component_id"]) for i, _ in rows} == brute_links(rows)
@@ -43,20 +46,60 @@ def test_vector_join(spark, monkeypatch, tile):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values() if r["vec_id"] is not None)
 
 
+def test_vector_join_at_the_bound(spark):
+    """Pairs so near to the bound that only double precision decides."""
+    rows = []
+    for i in range(40):
+        angle = np.arccos(0.95 + (i - 20) * 1e-7)
+        turn = np.eye(8)[[i % 8, (i + 3) % 8]] * (10.0 + i)
+        rows += [(2 * i, turn[0].tolist()), (2 * i + 1, (np.cos(angle) * turn[0] + np.sin(angle) * turn[1]).tolist())]
+    x = np.array([v for _, v in rows])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = u @ u.T >= 0.95
+    got = {r["vec_id"]: r["n_links"] for r in vector_join.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: int(close[i].sum()) - 1 for i in range(80)}
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [-1.0, 0.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_join.linked_vectors(frame(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
 def test_vector_join_without_vectors(spark):
     assert vector_join.linked_vectors(frame(spark, ODD).limit(0)).count() == 0
     assert vector_join.linked_vectors(frame(spark, [(1, None)])).first()["kept"]
 
 
-def test_cells_cover_and_bound():
-    x = np.random.default_rng(3).standard_normal((500, 4))
-    cells = vector_join.Cells(x, 16)
-    leaf = cells.place(x)
-    near = set(cells.near(0.3))
-    for a in range(0, 500, 7):
-        for b in range(500):
-            if ((x[a] - x[b]) ** 2).sum() <= 0.09:
-                assert tuple(sorted((leaf[a], leaf[b]))) in near
+def test_cells_hold_all_partners_and_fewer_others():
+    """Points within reach share a cell or meet as visitors; with more points, and so axes, the share of pairs that meet falls."""
+    x = np.random.default_rng(3).standard_normal((1500, 8)).astype(np.float32) / 8
+    far, shares = ((x[:, None] - x[None]) ** 2).sum(2), []
+    for axes in (1, 2, 3, 4):
+        own, before = vector_join.cells(x, 5, axes, 0.1119)
+        assert len(before) == (3**axes - 1) // 2 and ((own >> 52) == 5).all()
+        meet = own[:, None] == own[None]
+        for b in before:
+            meet |= (b[:, None] == own[None]) | (own[:, None] == b[None])
+        assert meet[far <= 0.1118**2].all()
+        shares.append(meet.mean())
+    assert all(b < 0.85 * a for a, b in zip(shares, shares[1:])) and shares[-1] < 0.35
+    counts = [vector_join.grid_axes(n, 8) for n in (0, 10**4, 10**5, 10**6, 10**7, 10**9)]
+    assert counts == sorted(counts) and counts[0] == 1 and counts[-1] == 4
+
+
+def test_a_hot_tile_takes_constant_memory():
+    rng = np.random.default_rng(4)
+    peak = []
+    for n in (1500, 3000):
+        x = np.tile(np.eye(1, 64, dtype=np.float32), (n, 1)) + rng.standard_normal((n, 64)).astype(np.float32) * 1e-3
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        tracemalloc.start()
+        links, (a, b), _ = vector_join._tile_links(x, np.ones(n, np.int64), np.zeros(n, np.int8), True, 0, 8, 0.0125, 0.95)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert (links == n - 1).all() and len(a) == n - 1
+    assert peak[1] < 1.3 * peak[0]
 
 
 def brute_top(rows, k=10):
