@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ._spark import cut, release, table
+from ._spark import chunks, cut, release, salted_join, starts, table
 from ._text import mix, shingle_set, signature
 from .components import components
 
@@ -50,6 +50,8 @@ WORDS = 5
 #: Rows of a table of ids that is broadcast at most; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 LOCAL_ROWS = 1 << 20
+#: Rows of buckets that a task holds at once.
+HOLD = 400_000
 #: Members of a bucket that one task compares with as many others.
 TILE = 4096
 #: 64-bit words of the sketches' first comparison.
@@ -147,11 +149,12 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray):
     for i in range(0, len(a), 200_000):
         x, y = a[i : i + 200_000].astype(np.int64), b[i : i + 200_000].astype(np.int64)
         to = x if kind in (KEY, CENTRE) else (mix(y.astype(np.uint64)) ^ x.astype(np.uint64)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y)], names=["p", "kind", "a", "b"])
+        ready = np.full(len(x), kind not in (KEY, CENTRE))
+        yield pa.RecordBatch.from_arrays([pa.array(ready), pa.array(to), pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y)], names=["ready", "p", "kind", "a", "b"])
 
 
 def key_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """p (what to deal rows by), kind, a, b: segment keys with ids, large local buckets as stars already."""
+    """ready (whether a bucket's work is done), p (what to deal rows by), kind, a, b: segment keys with ids, large local buckets as stars already."""
 
     def combine(keys: list[np.ndarray], ids: list[np.ndarray]):
         key, who = np.concatenate(keys).astype(np.int64), np.concatenate(ids)
@@ -186,39 +189,43 @@ def key_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
         seen.clear()
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "p long, kind byte, a long, b long")
+    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "ready boolean, p long, kind byte, a long, b long")
 
 
 def bucket_rows(rows: DataFrame) -> DataFrame:
     """kind, a, b: candidate pairs (ids), and members (key, id) of the buckets that have more than two."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            kind, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            mine = (kind == KEY) | (kind == CENTRE)
-            for k in (PAIR, MEMBER):
-                yield from out(k, a[kind == k], b[kind == k])
-            held.append((a[mine], b[mine], kind[mine] == CENTRE))
-        if held:
-            key, who, centre = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            if len(key):
-                key, who, centre, first, size, any_centre = _grouped(key, who, centre)
-                large = (size >= 3) | (any_centre & (size > 1))
-                a, b, _, _ = _stars(key, who, first, size, size > 1)
-                yield from out(PAIR, a, b)
-                inside = np.repeat(large, size) & ~centre  # centres have been given as members
-                yield from out(MEMBER, key[inside], who[inside])
-            del key, who, centre
+        head = None  # key and smallest id of a bucket that goes on
+        for t, whole in chunks(batches, 2, HOLD):
+            ready = t.column(0).to_numpy()
+            n = int(np.searchsorted(ready, True))
+            yield from t.slice(n).select(["kind", "a", "b"]).to_batches()
+            if not n:
+                continue
+            kind, key, who = (t.column(i).to_numpy()[:n] for i in (2, 3, 4))
+            key, who, centre, first, size, any_centre = _grouped(key, who, kind == CENTRE)
+            large = (size >= 3) | (any_centre & (size > 1))
+            if head is not None and key[0] == head[0]:  # the rows of this bucket so far, too many for one table, were given as members
+                large[0] = True
+                yield from out(PAIR, np.full(size[0], head[1]), who[: size[0]], who[: size[0]] != head[1])
+            elif not whole:
+                large[0] = True
+            head = None if whole else (head if head is not None and head[0] == key[0] else (key[0], who[0]))
+            a, b, _, _ = _stars(key, who, first, size, size > 1)
+            yield from out(PAIR, a, b)
+            inside = np.repeat(large, size) & ~centre  # centres have been given as members
+            yield from out(MEMBER, key[inside], who[inside])
         release()
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray):
+    def out(kind: int, a: np.ndarray, b: np.ndarray, some: np.ndarray | None = None):
+        if some is not None:
+            a, b = a[some], b[some]
         for i in range(0, len(a), 200_000):
             x, y = a[i : i + 200_000], b[i : i + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y)], names=["kind", "a", "b"])
 
-    return rows.repartition("p").mapInArrow(run, "kind byte, a long, b long")
+    return rows.repartition("p").sortWithinPartitions("ready", "p", "b").mapInArrow(run, "kind byte, a long, b long")
 
 
 @F.pandas_udf(BooleanType())
@@ -253,10 +260,10 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, about: DataFrame, words: int) -> DataFrame:
     """Of pairs (a, b), those that the sizes and sketches allow and whose sets are similar."""
     side = lambda x: about.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    near = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    near = salted_join(pairs, side("a"), "a", "b").where("n_a > 0").join(side("b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
     near = cut(near.where(_sketches_allow("sketch_a", "n_a", "sketch_b", "n_b")).select("a", "b"), gather=True)
     sets = _sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words)
-    both = near.join(sets.withColumnsRenamed({"doc_id": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "elements": "y"}), "b")
+    both = salted_join(near, sets.withColumnsRenamed({"doc_id": "a", "elements": "x"}), "a", "b").join(sets.withColumnsRenamed({"doc_id": "b", "elements": "y"}), "b")
     return cut(both.where(_sets_similar("x", "y")).select("a", "b"), gather=True)
 
 
@@ -272,24 +279,20 @@ def _across(members: DataFrame, reps: DataFrame, apart: DataFrame, forest_only:
     rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        key, i, j, mine, rep, comp, n = (t.column(c).to_numpy() for c in range(7))
-        bits, order = t.column(7).combine_chunks(), np.lexsort((rep, j, i, key))
-        k = np.stack((key, i, j), axis=1)[order]
-        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1))))
-        for at, to in zip(first, np.append(first[1:], len(order))):
-            rows = order[at:to]
-            if comp[rows].min() == comp[rows].max():
-                continue
-            data = bits.take(pa.array(rows)).to_pylist()
-            a, b = tile_pairs(rep[rows], comp[rows], n[rows], data, mine[rows], int(i[rows[0]]) == int(j[rows[0]]), forest_only)
-            for x in range(0, len(a), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[x : x + 200_000]), pa.array(b[x : x + 200_000])], names=["a", "b"])
+        for t, _ in chunks(batches, 3, 4 * TILE):
+            key, i, j, mine, rep, comp, n = (t.column(c).to_numpy() for c in range(7))
+            first = starts(key, i, j)
+            for at, to in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
+                rows = slice(at, to)
+                if comp[rows].min() == comp[rows].max():
+                    continue
+                data = t.column(7).slice(at, to - at).to_pylist()
+                a, b = tile_pairs(rep[rows], comp[rows], n[rows], data, mine[rows], int(i[at]) == int(j[at]), forest_only)
+                for x in range(0, len(a), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[x : x + 200_000]), pa.array(b[x : x + 200_000])], names=["a", "b"])
+        release()
 
-    return rows.repartition("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(run, "a long, b long").distinct()
 
 
 def tile_pairs(rep, comp, n, sketches: list[bytes], mine, within: bool, forest_only: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -313,7 +316,7 @@ def tile_pairs(rep, comp, n, sketches: list[bytes], mine, within: bool, forest_o
             far = np.zeros((len(x), len(y)), dtype=np.int32)
             for w in range(coarse.shape[1]):
                 far += np.bitwise_count(coarse[x, w][:, None] ^ coarse[y, w][None, :])
-            u, v = np.nonzero(fits & (9 * far <= m + o))
+            u, v = np.divmod(np.flatnonzero(fits & (9 * far <= m + o)), len(y))
             u, v = x[u], y[v]
             d = np.concatenate([np.bitwise_count(bits[u[e : e + 8192]] ^ bits[v[e : e + 8192]]).sum(1, dtype=np.int64) for e in range(0, len(u), 8192)] or [np.empty(0, np.int64)])
             ok = 9 * d <= n[u] + n[v]
