@@ -52,3 +52,30 @@ def test_cut_words(text, starts, lengths, want):
 
 def test_helpers_agree_with_sets():
     assert len(shingles("a b c d e f")) == 2
+
+
+def clashing(spark, rows):
+    made = [(i, t, "en", 1.0, "x", [2], {"a": 1}) for i, t in rows]
+    return spark.createDataFrame(made, "doc_id long, text string, lang string, score double, language string, spans array<int>, _spans map<string,int>").repartition(3)
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    rng = random.Random(7)
+    p = prose(80, rng)
+    docs = clashing(spark, [(i, " ".join(prose(40, rng) + p + prose(40, rng))) for i in range(6)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.schema.simpleString() == docs.schema.simpleString(), name
+        assert all((r["score"], r["language"], r["spans"], r["_spans"]) == (1.0, "x", [2], {"a": 1}) for r in got.collect())
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
+
+
+def test_one_id_with_two_texts(spark):
+    rng = random.Random(8)
+    a, b = " ".join(prose(100, rng)), " ".join(prose(100, rng))
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, b), (4, b)]
+    kept = sorted((r["doc_id"], r["text"] == a) for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), DATA).collect())
+    assert kept == [(1, True), (2, False), (2, True), (3, False)]
+    cut = sorted((r["doc_id"], r["text"] == a) for r in corpus_pipeline.cut_repeated_passages(spark, documents(spark, rows), DATA).collect())
+    assert cut == [(1, True), (2, False), (2, True), (3, False)]
