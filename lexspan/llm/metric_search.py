@@ -19,7 +19,9 @@ result.
 Defined results: vectors that are null, empty or hold null or non-finite
 components, and rows without an id, take no part; nor does a vector whose
 dimension isn't the most common one.  Ties go to the smaller id.  Of rows that
-repeat an id with the same vector one is kept.
+repeat an id with the same vector one is kept; of an id with several vectors all
+are candidates, and its query is the smallest of them.  Scores are 64-bit
+integers: vectors whose products are larger have no defined score.
 """
 
 from __future__ import annotations
@@ -98,9 +100,11 @@ class MTree:
             if p[0]:
                 _, rows, stored = p
                 rows = rows[np.abs(stored - from_pivot) <= reach + slack]
-                for score, i in zip((self.x[rows] @ q).tolist(), self.ids[rows].tolist()):
-                    if i == own:
-                        continue
+                scores, ids = self.x[rows] @ q, self.ids[rows]
+                some = ids != own
+                if len(best) == k:
+                    some &= scores >= best[0][0]
+                for score, i in zip(scores[some].tolist(), ids[some].tolist()):
                     if len(best) < k:
                         heapq.heappush(best, (score, -i))
                     elif (score, -i) > best[0]:
@@ -138,7 +142,7 @@ def top_k(vectors: DataFrame, queries, k: int = K, scale: float = SCALE, id_col:
         return spark.createDataFrame([], schema)
     n, dim = sizes[0]["count"], sizes[0]["bytes"] // 8
     clean = clean.where(F.octet_length("v") == 8 * dim)
-    asked = clean.where(queries)
+    asked = clean.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     trees = max(1, -(-n // int(np.clip(n // 12, TREE_MIN, TREE_MAX))))
     smallest = Window.partitionBy("v").orderBy("vec_id")

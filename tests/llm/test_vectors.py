@@ -140,3 +140,9 @@ def test_m_tree_bounds_hold():
 def under(tree, page):
     p = tree.pages[page]
     return p[1].tolist() if p[0] else [r for c in p[1] for r in under(tree, c)]
+
+
+def test_top_k_of_an_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0])]
+    got = sorted(map(tuple, metric_search.top_k(frame(spark, rows), F.col("vec_id") == 0).collect()))
+    assert got in ([(0, 1, 1, 2 << 20), (0, 2, 2, 0)], [(0, 1, 2, 3 << 20), (0, 2, 1, 0)])
