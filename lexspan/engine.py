@@ -27,6 +27,7 @@ class Engine:
         self.spark, self.store, self.settings, self.providers = spark, Store(spark, store), settings, providers or Providers()
         self._lock, self._stale = threading.Lock(), (0.0, None)
         self.progress = {"phase": "idle"}
+        self._held: list[DataFrame] = []  # what the running sync has cached
 
     # Sync
 
@@ -44,12 +45,12 @@ class Engine:
             problems = {r["root"]: r["error"] for r in errors.collect()}
             if problems and self.settings.fail_on_missing_root:
                 raise FileNotFoundError(str(problems))
-            files, old = files.persist(), self.store.read("docs").persist()
+            files, old = self._hold(files), self._hold(self.store.read("docs"))
             changes = sync.diff(files, old, images=self.settings.ocr_embedded_images and self.providers.ocr is not None)
             if only is not None:
                 keys = self.spark.createDataFrame([(k,) for k in only], "key string")
                 changes = sync.restricted(changes, files, keys)
-            changes = changes.persist()
+            changes = self._hold(changes)
             outcome = sync.counters(changes).first().asDict() | {"errors": problems}
             todo = changes.where(F.col("change").isin("added", "updated", "images"))
             self.progress = {"phase": "extract", **outcome}
@@ -65,9 +66,15 @@ class Engine:
         finally:
             self.spark.removeTag(TAG)
             self._stale = (0.0, None)
-            self.spark.catalog.clearCache()
+            for df in self._held:
+                df.unpersist()
+            self._held = []
             self._lock.release()
 
+    def _hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist())
+        return self._held[-1]
+
     def cancel(self) -> None:
         """Stops a running sync's jobs; the tables stay as they were before the table in work."""
         self.spark.interruptTag(TAG)
@@ -77,12 +84,18 @@ class Engine:
             return
         wanted = sync.routed(files.join(todo.select("path"), "path", "left_semi"), any_of(self.settings.include), self.settings.max_file_bytes)
         made = extract(self.spark, wanted, self.settings, self.providers)
-        # a document keeps its id; new ones follow the largest, in the order of their paths
+        # a document keeps its id; new ones follow the largest, in the order of their paths within ranges of paths
         last = old.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
         known = old.select("path", F.col("doc_id").alias("old_id"))
         fresh = wanted.join(known, "path", "left").select("path", "old_id")
-        numbered = fresh.where("old_id is null").select("path", (F.row_number().over(Window.orderBy("path")) + last).cast("long").alias("doc_id")).union(fresh.where("old_id is not null"))
-        rows = wanted.join(made, "path").join(numbered, "path").persist()
+        new = self._hold(fresh.where("old_id is null").select("path").repartitionByRange("path").withColumn("part", F.spark_partition_id()))
+        sizes = sorted((r["part"], r["count"]) for r in new.groupBy("part").count().collect())  # a row for each partition
+        offsets = F.create_map(*[F.lit(x) for i, (part, _) in enumerate(sizes) for x in (part, sum(n for _, n in sizes[:i]))]) if sizes else None
+        place = F.row_number().over(Window.partitionBy("part").orderBy("path")) + last
+        numbered = fresh.where("old_id is not null").withColumnRenamed("old_id", "doc_id")
+        if sizes:
+            numbered = new.select("path", (place + offsets[F.col("part")]).cast("long").alias("doc_id")).union(numbered)
+        rows = self._hold(wanted.join(made, "path").join(numbered, "path"))
         gone = todo.select("path").union(removed.select("path"))
         docs = rows.select("doc_id", "path", "root", "rel", "dir", "name", "ext", "size", "mtime", "kind", "text_source", "status", "error", F.length("text").cast("long").alias("chars"), "media_ocr", F.current_timestamp().alias("indexed_at"))
         chunks = rows.select("doc_id", F.explode("chunks").alias("c")).select((F.col("doc_id") * corpus.CHUNKS + F.col("c.ord")).alias("chunk_id"), "doc_id", "c.ord", "c.heading", "c.page", "c.text")

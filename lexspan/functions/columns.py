@@ -114,8 +114,8 @@ def source_label(c: Column) -> Column:
 
 
 def human_size(c: Column) -> Column:
-    kb, mb = c / 1024, c / (1024 * 1024)
-    return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1024 * 1024, F.concat(F.format_number(kb, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(mb, 1), F.lit(" MB")))
+    shown = lambda unit, name: F.format_string(f"%.1f {name}", c.cast("double") / unit)
+    return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1024 * 1024, shown(1024, "KB")).otherwise(shown(1024 * 1024, "MB"))
 
 
 def html_escape(c: Column) -> Column:

@@ -99,6 +99,11 @@ def cache_lookup(images: DataFrame, cache: DataFrame) -> DataFrame:
     return joined.withColumn("state", F.when(F.col("hit").isNull(), "pending").when(F.trim("cached") != "", "cached").otherwise("dropped")).drop("hit")
 
 
+def cache_statistics(cache: DataFrame) -> DataFrame:
+    """One row: cached images and the characters of their texts."""
+    return cache.agg(F.count("*").alias("images"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars"))
+
+
 def log_details(log: DataFrame, shown: int = 60) -> DataFrame:
     """The files of log entries, in the order added, updated, removed, failed, with each entry's true count; shown of them at most."""
     kind = "struct<added: array<struct<rel: string, note: string>>, updated: array<struct<rel: string, note: string>>, removed: array<string>, failed: array<struct<rel: string, error: string>>>"

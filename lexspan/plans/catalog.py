@@ -18,6 +18,7 @@ ORACLES: dict = {}
 
 QUERY = '"of the" thea tionble enten and'
 AS_OF = "2024-02-01 00:00:00"
+SINCE_OF = "2024-01-22 12:00:00"
 
 _DOCS = """
 docs AS (
@@ -144,9 +145,10 @@ def source_labels(spark, sf):
     return _docs(spark, sf).groupBy(columns.source_label(F.col("text_source")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("human_sizes", f"WITH {_DOCS} SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' ELSE printf('%.1f', CAST(size AS DECIMAL(18,0)) / 1024.0) || ' KB' END AS shown FROM docs WHERE size < 1024")
+@query("human_sizes", f"WITH {_DOCS} SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', size / 1024.0::DOUBLE) || ' KB' ELSE printf('%.1f', size / 1048576.0::DOUBLE) || ' MB' END AS shown, CASE WHEN size * 1024 < 1048576 THEN printf('%.1f', size * 1.0::DOUBLE) || ' KB' ELSE printf('%.1f', size / 1024.0::DOUBLE) || ' MB' END AS larger FROM docs WHERE size > 0")
 def human_sizes(spark, sf):
-    return _docs(spark, sf).where("size < 1024").select("doc_id", columns.human_size(F.col("size")).alias("shown"))
+    """Sizes as they are, and a thousand times as large, so that every unit occurs."""
+    return _docs(spark, sf).where("size > 0").select("doc_id", columns.human_size(F.col("size")).alias("shown"), columns.human_size(F.col("size") * 1024).alias("larger"))
 
 
 @query("read_text", f"WITH {_CHUNKS} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text FROM chunks GROUP BY 1")
@@ -167,14 +169,22 @@ def filter_dir(spark, sf):
     return corpus.filtered(_docs(spark, sf), dir="./src1/").select("doc_id", "rel")
 
 
-@query("filter_ext", f"WITH {_DOCS} SELECT doc_id FROM docs WHERE ext IN ('.txt', '.md')")
+_EXT = "CASE lang WHEN 'en' THEN '.md' WHEN 'de' THEN '.pdf' ELSE '.txt' END"
+
+
+@query("filter_ext", f"SELECT doc_id FROM documents WHERE {_EXT} IN ('.txt', '.md')")
 def filter_ext(spark, sf):
-    return corpus.filtered(_docs(spark, sf), ext="TXT, .md").select("doc_id")
+    return corpus.filtered(corpus.read(spark, sf, "documents").withColumn("ext", F.expr(_EXT)), ext="TXT, .md").select("doc_id")
 
 
-@query("filter_days", f"WITH {_DOCS} SELECT doc_id FROM docs WHERE mtime >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY")
+@query("filter_days", f"WITH {_DOCS} SELECT doc_id FROM docs WHERE mtime >= TIMESTAMP '{SINCE_OF}' - INTERVAL 20 DAY")
 def filter_days(spark, sf):
-    return corpus.filtered(_docs(spark, sf), days=20, as_of=AS_OF).select("doc_id")
+    return corpus.filtered(_docs(spark, sf), days=20, as_of=SINCE_OF).select("doc_id")
+
+
+@query("one_character", f"WITH {_CHUNKS}, found AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS pos FROM chunks WHERE contains(lower(text), 'ß')) SELECT chunk_id, 0 AS term_idx, CAST(pos - 1 AS INTEGER) AS rank_b FROM found WHERE pos <= 80")
+def one_character(spark, sf):
+    return search.substring_ranks(_chunks(spark, sf), build_plan("ß"))
 
 
 @query("like_escape", "SELECT doc_id FROM documents WHERE contains(text, '%')")
@@ -266,6 +276,11 @@ def rrf_search(spark, sf):
     return search.search(_chunks(spark, sf), _PLAN).select("rank", "chunk_id", "doc_id", "rel", "score")
 
 
+@query("candidate_count", f"WITH {_FIELDS}, {_bm25_sql()}, {_substring_sql()} SELECT count(*) AS n FROM a FULL OUTER JOIN b USING (chunk_id)")
+def candidate_count(spark, sf):
+    return search.fused(_chunks(spark, sf), _PLAN).agg(F.count("*").alias("n"))
+
+
 _WHERE = f"(dir = 'src1' OR starts_with(dir, 'src1/')) AND ext IN ('.txt') AND mtime >= TIMESTAMP '{AS_OF}' - INTERVAL 400 DAY"
 
 
@@ -411,10 +426,37 @@ def path_triggers(spark, sf):
     return gate.path_names(_docs(spark, sf))
 
 
-@query("gate_triggers", "SELECT conv_id, turn, len(list_filter(regexp_split_to_array(lower(text), '[。！？!?；;\\n，,、]+'), lambda c: contains(c, 'the'))) > 0 AS asked FROM conversations WHERE NOT regexp_matches(lower(text), 'no\\b|don''t|dont|do not|without|disable')")
+_CLAUSES = "list_filter(list_transform(regexp_split_to_array(lower(text), '[。！？!?；;\\n，,、]+'), lambda c: trim(c)), lambda c: c <> '')"
+_NO = "no\\b|don''t|dont|do not|without|disable"
+
+
+@query("gate_triggers", f"SELECT conv_id, turn, len(list_filter({_CLAUSES}, lambda c: contains(c, 'the') AND NOT regexp_matches(substr(c, greatest(1, instr(c, 'the') - 24), 27 + least(24, instr(c, 'the') - 1)), '{_NO}'))) > 0 AS asked FROM conversations")
 def gate_triggers(spark, sf):
-    c = corpus.read(spark, sf, "conversations").where(~F.lower("text").rlike(r"no\b|don't|dont|do not|without|disable"))
-    return c.select("conv_id", "turn", gate.has_trigger(F.col("text"), ("the",)).alias("asked"))
+    return corpus.read(spark, sf, "conversations").select("conv_id", "turn", gate.has_trigger(F.col("text"), ("the",)).alias("asked"))
+
+
+@query("cache_statistics", "SELECT count(*) AS images, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM (SELECT DISTINCT sha1(text) AS sha1, text FROM documents WHERE text IS NOT NULL)")
+def cache_statistics(spark, sf):
+    cache = corpus.read(spark, sf, "documents").where("text is not null").select(F.sha1(F.col("text").cast("binary")).alias("sha1"), "text").dropDuplicates(["sha1"])
+    return sync.cache_statistics(cache)
+
+
+@query("named_paths", f"WITH {_DOCS}, names AS (SELECT DISTINCT lower(word) AS name FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents WHERE doc_id = 1) WHERE length(word) >= 4 AND regexp_full_match(word, '[a-zA-Z]+')), c AS (SELECT conv_id, unnest({_CLAUSES}) AS clause FROM conversations) SELECT DISTINCT conv_id, name FROM c JOIN names ON contains(clause, name)")
+def named_paths(spark, sf):
+    words = corpus.read(spark, sf, "documents").where("doc_id = 1").select(F.explode(F.split("text", " ")).alias("word"))
+    names = words.where(F.col("word").rlike("^[a-zA-Z]{4,}$")).select(F.lower("word").alias("name")).distinct()
+    return gate.named_paths(corpus.read(spark, sf, "conversations").select("conv_id", "text"), names, "conv_id")
+
+
+@query("numbered_images", "SELECT o_custkey AS doc_id, o_orderkey AS entry, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS n FROM orders WHERE o_orderstatus <> 'F'")
+def numbered_images(spark, sf):
+    images = corpus.read(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("entry"), F.when(F.col("o_orderstatus") == "F", " ").otherwise(F.col("o_orderstatus")).alias("text"))
+    return sync.numbered_images(images).select("doc_id", "entry", "n")
+
+
+@query("clean_text", r"SELECT doc_id, regexp_replace(regexp_replace(replace(regexp_replace(text || chr(13) || chr(10) || 'x  ' || chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || 'y', '\r\n?', chr(10), 'g'), chr(0), ''), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g') AS text FROM documents")
+def clean_text(spark, sf):
+    return corpus.read(spark, sf, "documents").select("doc_id", columns.clean_text(F.concat("text", F.lit("\r\nx  \n\n\n\n\ny"))).alias("text"))
 
 
 # Text functions on literal rows
