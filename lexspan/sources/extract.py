@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from ..functions.chunking import Block, blocks_text, chunk_blocks, text_blocks
 from ..operators.sync import metadata_text
 from . import office
 from .decode import clean, decode
-from .folders import missing_roots
+from .folders import base_path, local_path, missing_roots
 
 #: A provider takes (kind, bytes) and gives text, or None if it finds none.
 Provider = Callable[[str, bytes], "str | None"]
@@ -41,9 +42,11 @@ OUT = "path string, status string, text_source string, text string, error string
 _CHUNKS = pa.list_(pa.struct([("ord", pa.int32()), ("heading", pa.string()), ("page", pa.int32()), ("text", pa.string())]))
 
 
-def extract_file(kind: str, data: bytes, settings: Settings, providers: Providers, cache: dict[str, str]) -> tuple[str, str, list[Block], str | None, bool]:
-    """(status, text source, blocks, error, whether its pictures were read)."""
+def extract_file(kind: str, data: bytes | str, settings: Settings, providers: Providers, cache: dict[str, str]) -> tuple[str, str, list[Block], str | None, bool]:
+    """(status, text source, blocks, error, whether its pictures were read).  data: the contents, or the path of a mounted file."""
     try:
+        if isinstance(data, str):
+            data = Path(local_path(data)).read_bytes()
         if kind == "text":
             text, warning = decode(data)
             return "indexed", "native", text_blocks(clean(text), settings.page_marks), warning, False
@@ -75,22 +78,24 @@ def extract(spark: SparkSession, files: DataFrame, settings: Settings, providers
     plain = files.where("route = 'metadata'").select("path", F.lit("metadata").alias("status"), F.lit("metadata").alias("text_source"), metadata_text().alias("text"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("media_ocr"), "dir")
     chunk = F.struct(F.lit(0).alias("ord"), F.col("dir").alias("heading"), F.lit(None).cast("int").alias("page"), F.col("text").alias("text"))
     plain = plain.withColumn("chunks", F.array(chunk)).drop("dir")
-    wanted = files.where("route <> 'metadata'").select("path", "kind", "dir", metadata_text().alias("fallback"))
-    content = None
+    wanted = files.where("route <> 'metadata'").select("path", "kind", "dir", metadata_text().alias("fallback"), "size")
+    todo = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    tasks = int(max(1, min(100_000, todo["n"] // 50 + todo["bytes"] // (64 << 20) + 1)))
+    # files of mounted folders are read where they are extracted, one at a time; others come from the binary source
+    read = wanted.where(F.startswith("path", F.lit("file:"))).repartition(tasks, "path").withColumn("content", F.lit(None).cast("binary")).drop("size")
     gone = missing_roots(spark, settings.roots)
     for root in (r for r in settings.roots if r not in gone):
-        part = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-        content = part if content is None else content.union(part)
-    if content is None:
-        return plain
-    read = content.join(F.broadcast(wanted) if wanted.count() <= 200_000 else wanted, "path").select("path", "kind", "dir", "fallback", "content")
+        if local_path(base_path(spark, root)) is None:
+            part = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+            part = part.join(F.broadcast(wanted) if todo["n"] <= 200_000 else wanted, "path")
+            read = read.unionByName(part.select("path", "kind", "dir", "fallback", "content"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         cache: dict[str, str] = {}
         for batch in batches:
             rows = []
             for path, kind, folder, fallback, data in zip(*(c.to_pylist() for c in batch.columns)):
-                status, source, blocks, error, media = extract_file(kind, data, settings, providers, cache)
+                status, source, blocks, error, media = extract_file(kind, path if data is None else data, settings, providers, cache)
                 chunks = chunk_blocks(blocks, settings.chunk_chars, settings.chunk_overlap) or [{"ord": 0, "heading": folder, "page": None, "text": fallback}]
                 rows.append((path, status, source, blocks_text(blocks), error, media, chunks))
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), _CHUNKS)

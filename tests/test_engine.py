@@ -70,6 +70,21 @@ def test_sync_sees_changes(spark, tmp_path, folder):
     assert e.inside_roots(e.store.read("docs").first()["path"]) and not e.inside_roots("/etc/passwd")
 
 
+def test_names_that_begin_with_an_underscore_or_a_dot(spark, tmp_path):
+    root = tmp_path / "files"
+    (root / "_drafts" / ".old").mkdir(parents=True)
+    (root / ".git").mkdir()
+    for name in ("a.txt", "_draft.txt", ".notes.md", "_drafts/b.txt", "_drafts/.old/c.txt", ".git/d.txt"):
+        (root / name).write_text(f"walrus in {name}")
+    (root / "link.txt").symlink_to(root / "a.txt")
+    e = made(spark, tmp_path, root)
+    got = e.sync()
+    assert (got["scanned"], got["added"], got["failed"]) == (5, 5, 0)
+    assert {h["rel"] for h in e.search("walrus", limit=20).collect()} == {"a.txt", "_draft.txt", ".notes.md", "_drafts/b.txt", "_drafts/.old/c.txt"}
+    assert e.sync()["unchanged"] == 5
+    assert sorted(r["doc_id"] for r in e.store.read("docs").collect()) == [1, 2, 3, 4, 5]
+
+
 def test_missing_root_removes(spark, tmp_path, folder):
     e = made(spark, tmp_path, folder)
     e.sync()
