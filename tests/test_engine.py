@@ -14,11 +14,11 @@ from lexspan.sources.extract import Providers
 @pytest.fixture
 def folder(tmp_path):
     root = tmp_path / "资料"
-    (root / "方案模板").mkdir(parents=True)
-    (root / "公司简介.txt").write_text("产线追溯系统上线运行，采用GS1标准编码。\n农药标签二维码码制采用QR码。")
-    (root / "方案模板" / "通用模板.md").write_text("# 模板\n一、总体要求\n内容在这里，说明追溯。\n二、实施\n更多内容。")
-    (root / "图块综合.dwg").write_bytes(b"AC1027")
-    (root / "~$lock.txt").write_text("passed over")
+    (root / "船舶档案").mkdir(parents=True)
+    (root / "港口说明.txt").write_text("集装箱泊位调度每天更新，采用潮汐表。\n渔船登记册按吨位排列。")
+    (root / "船舶档案" / "航线手册.md").write_text("# 手册\n一、航前检查\n说明泊位与潮汐。\n二、靠岸\n其余步骤。")
+    (root / "码头平面.dwg").write_bytes(b"AC1027")
+    (root / "~$lock.txt").write_text("locked")
     return root
 
 
@@ -31,19 +31,19 @@ def test_sync_search_read_list(spark, tmp_path, folder):
     first = e.sync()
     assert (first["scanned"], first["added"], first["failed"]) == (3, 3, 0)
     assert e.status()["by_status"] == {"indexed": 2, "metadata": 1}
-    hits = e.search("追溯").collect()
-    assert {h["rel"] for h in hits} == {"公司简介.txt", "方案模板/通用模板.md"} and all("「追溯」" in h["snippet"] for h in hits)
-    assert e.search("农药标签二维码").first()["rel"] == "公司简介.txt"
-    assert e.search("图块综合").first()["status"] == "metadata"
-    assert {h["rel"] for h in e.search("追溯", dir="方案模板").collect()} == {"方案模板/通用模板.md"}
-    assert {h["rel"] for h in e.search("追溯", ext="md").collect()} == {"方案模板/通用模板.md"}
-    assert e.search("追溯", days=1, as_of="2100-01-01").count() == 0 and e.search("追溯", days=3).count() == 2
-    for hostile in ('" OR *', "NEAR/3 追溯", 'a"b', "^系统$", "%_", ""):
+    hits = e.search("泊位").collect()
+    assert {h["rel"] for h in hits} == {"港口说明.txt", "船舶档案/航线手册.md"} and all("「泊位」" in h["snippet"] for h in hits)
+    assert e.search("渔船登记册").first()["rel"] == "港口说明.txt"
+    assert e.search("码头平面").first()["status"] == "metadata"
+    assert {h["rel"] for h in e.search("泊位", dir="船舶档案").collect()} == {"船舶档案/航线手册.md"}
+    assert {h["rel"] for h in e.search("泊位", ext="md").collect()} == {"船舶档案/航线手册.md"}
+    assert e.search("泊位", days=1, as_of="2100-01-01").count() == 0 and e.search("泊位", days=3).count() == 2
+    for hostile in ("(((", 'tide" AND "berth', "name:* -泊位", "\\\\", "_%'", ""):
         e.search(hostile).collect()
-    assert "农药标签" in e.read("公司简介.txt").first()["text"]
-    assert e.read("图块综合.dwg").first()["text"] == ""
+    assert "渔船登记" in e.read("港口说明.txt").first()["text"]
+    assert e.read("码头平面.dwg").first()["text"] == ""
     dirs, files = e.list()
-    assert [d["dir"] for d in dirs.collect()] == ["方案模板"] and files.count() == 2
+    assert [d["dir"] for d in dirs.collect()] == ["船舶档案"] and files.count() == 2
     assert e.list(needle="dwg")[1].count() == 1
     second = e.sync()
     assert (second["unchanged"], second["added"], second["updated"], second["removed"]) == (3, 0, 0, 0)
@@ -55,14 +55,14 @@ def test_sync_sees_changes(spark, tmp_path, folder):
     ids = {r["rel"]: r["doc_id"] for r in e.store.read("docs").collect()}
     (folder / "新.txt").write_text("全新的内容 zebra")
     time.sleep(0.01)
-    (folder / "公司简介.txt").write_text("改过的文字")
-    os.remove(folder / "图块综合.dwg")
+    (folder / "港口说明.txt").write_text("改过的文字")
+    os.remove(folder / "码头平面.dwg")
     assert e.search("zebra").count() == 0
     assert e.staleness() == {"added": 1, "changed": 1, "removed": 1}
     got = e.sync()
     assert (got["added"], got["updated"], got["removed"], got["unchanged"]) == (1, 1, 1, 1)
-    assert e.search("zebra").count() == 1 and e.search("图块综合").count() == 0
-    assert {r["rel"]: r["doc_id"] for r in e.store.read("docs").collect()}["公司简介.txt"] == ids["公司简介.txt"]
+    assert e.search("zebra").count() == 1 and e.search("码头平面").count() == 0
+    assert {r["rel"]: r["doc_id"] for r in e.store.read("docs").collect()}["港口说明.txt"] == ids["港口说明.txt"]
     retry = e.sync(only=["新.txt"])
     assert (retry["updated"], retry["unchanged"], retry["removed"]) == (1, 2, 0)
     assert e.sync(full=True)["added"] == 3
@@ -98,17 +98,17 @@ def test_missing_root_removes(spark, tmp_path, folder):
 def test_pictures_in_office_files(spark, tmp_path):
     root = tmp_path / "files"
     root.mkdir()
-    (root / "方案.docx").write_bytes(docx(b"p" * 30000))
+    (root / "航图.docx").write_bytes(docx(b"p" * 30000))
     (root / "坏.docx").write_bytes(b"broken")
     (root / "旧.doc").write_bytes(b"old")
     (root / "扫描.pdf").write_bytes(b"%PDF")
     e = made(spark, tmp_path, root)
     got = e.sync()
     assert got["failed"] == 1 and e.status()["by_status"] == {"error": 1, "indexed": 1, "needs_conversion": 1, "needs_ocr": 1}
-    assert e.search("拓扑样例").count() == 0
-    with_ocr = made(spark, tmp_path, root, Providers(ocr=lambda kind, data: "拓扑样例" if kind == "image" else None))
+    assert e.search("吊臂照片").count() == 0
+    with_ocr = made(spark, tmp_path, root, Providers(ocr=lambda kind, data: "吊臂照片" if kind == "image" else None))
     assert with_ocr.sync()["images"] == 1
-    assert with_ocr.search("拓扑样例").first()["rel"] == "方案.docx"
+    assert with_ocr.search("吊臂照片").first()["rel"] == "航图.docx"
     assert with_ocr.sync()["images"] == 0
 
 
@@ -116,7 +116,7 @@ def test_sessions_and_gate(spark, tmp_path, folder):
     e = made(spark, tmp_path, folder)
     e.sync()
     assert e.session("on") is False and e.session("on", True) and e.session("on")
-    said = {"a": "用知识库查一下追溯", "b": "这次不要用知识库，直接回答", "c": "按 通用模板.md 写", "d": "写一首诗", "on": "你好", "e": "用知识库同步一下", "f": None}
+    said = {"a": "用知识库查一下泊位", "b": "先不要用知识库，凭印象说", "c": "按 航线手册.md 写", "d": "讲个笑话", "on": "你好", "e": "用知识库同步一下", "f": None}
     got = {r["session_id"]: (r["allowed"], r["sync"]) for r in e.allowed(spark.createDataFrame(list(said.items()), "session_id string, text string")).collect()}
     assert {k: bool(v[0]) for k, v in got.items()} == {"a": True, "b": False, "c": True, "d": False, "on": True, "e": True, "f": False}
     assert got["e"][1] and not got["a"][1]
@@ -127,7 +127,7 @@ def test_stream(spark, tmp_path, folder):
 
     e = made(spark, tmp_path, folder)
     watch(e, str(tmp_path / "checkpoint"), once=True).awaitTermination(60)
-    assert e.search("追溯").count() == 2
+    assert e.search("泊位").count() == 2
     (folder / "后来.txt").write_text("late arrival")
     watch(e, str(tmp_path / "checkpoint"), once=True).awaitTermination(60)
     assert e.search("arrival").count() == 1
@@ -187,16 +187,16 @@ def test_http_and_tools(spark, tmp_path, folder):
 
     from urllib.parse import quote
 
-    assert call("/search?q=" + quote("追溯"))[1][0]["rel"] in ("公司简介.txt", "方案模板/通用模板.md")
+    assert call("/search?q=" + quote("泊位"))[1][0]["rel"] in ("港口说明.txt", "船舶档案/航线手册.md")
     assert call("/search?q=")[0] == 400 and call("/nothing")[0] == 404 and call("/sync")[0] == 405 and call("/status", Host="example.org")[0] == 403
     assert call("/doc?key=nothing")[0] == 404 and call("/preview?path=/etc/passwd")[0] == 403
     path = e.store.read("docs").where("ext = '.txt'").first()["path"]
-    assert "mark" in call("/preview?path=" + quote(path) + "&q=" + quote("追溯"))[1]["html"]
+    assert "mark" in call("/preview?path=" + quote(path) + "&q=" + quote("泊位"))[1]["html"]
     assert call("/session", {"id": "s", "enabled": True})[1] == call("/session?id=s")[1] == {"enabled": True}
     assert call("/settings", {"top_k": 5})[1]["top_k"] == 5 and call("/settings", {"top_k": -5})[0] == 400
     server.shutdown()
     tools = Tools(e)
-    assert tools.kb_search("x", "写一首诗", "追溯") == REFUSED and "追溯" in tools.kb_search("x", "用知识库查追溯", "追溯")
-    assert "通用模板.md" in tools.kb_list("s", "", "方案模板") and tools.kb_read("s", "", "图块综合.dwg").startswith("no text")
+    assert tools.kb_search("x", "讲个笑话", "泊位") == REFUSED and "泊位" in tools.kb_search("x", "用知识库查泊位", "泊位")
+    assert "航线手册.md" in tools.kb_list("s", "", "船舶档案") and tools.kb_read("s", "", "码头平面.dwg").startswith("no text")
     assert "doesn't ask" in tools.kb_status("s", "你好", "now") and "unchanged: 3" in tools.kb_status("s", "同步一下知识库", "now")
     assert tools.kb_session("s", "off") == "off" and "3 files" in tools.prompt_section("s")

@@ -7,22 +7,22 @@ from lexspan.sources import office, render
 
 def test_docx_text():
     got = office.docx_blocks(docx())
-    assert (got[0].kind, got[0].level, got[0].text) == ("heading", 1, "系统概述")
-    assert [b.text for b in got[1:]] == ["加粗文字", "a | b", "c | <script>", "第一项", "页脚"]
+    assert [b.text for b in got] == ["Leinen lösen", "Fender einholen", "Hafenbuch", "Kai 7 | 4,5 m | Ebbe & <Flut>", "nur bei Tag", "Seite des Hafenamts"]
+    assert [(b.kind, b.level) for b in got][2] == ("heading", 2)
 
 
 def test_xlsx_text_resolves_strings():
-    assert blocks_text(office.xlsx_blocks(xlsx())) == "## 工作表：报价\n单位\n袋线 | 12345 | 45292 | 0.125\n## 工作表：二\n直接 | TRUE"
+    assert blocks_text(office.xlsx_blocks(xlsx())) == "## 工作表：Gezeiten\nFALSE | Nebel\n## 工作表：Schiffe\nSchiff\nMöwe | 7041.5 | 0.4 | 36526.25"
 
 
 def test_pptx_text_in_slide_order():
-    assert blocks_text(office.pptx_blocks(pptx())) == "## 幻灯片 1\n第二页\n备注：备注内容\n## 幻灯片 2\n第十页"
+    assert blocks_text(office.pptx_blocks(pptx())) == "## 幻灯片 1\nEinfahrt\nbei Flut\n备注：Lotse rufen\n## 幻灯片 2\nAusfahrt"
 
 
 def test_images_by_size():
     assert office.embedded_images(docx(b"x" * 2048)) == []
     found = office.embedded_images(docx(b"x" * 30000))
-    assert [(n, b) for n, _, b, _ in found] == [("word/media/image1.png", 30000)]
+    assert [(n, b) for n, _, b, _ in found] == [("word/media/kran.png", 30000)]
 
 
 def test_bad_archives():
@@ -32,19 +32,19 @@ def test_bad_archives():
 
 
 def test_docx_html():
-    got = render.docx_html(docx(b"img"), ["加粗"])
-    assert "<h1>系统概述</h1>" in got and '<strong><mark id="first-hit">加粗</mark>文字</strong>' in got
-    assert "&lt;script&gt;" in got and "<script>" not in got and "<ul><li>第一项</li></ul>" in got and "data:image/png;base64," in got
+    got = render.docx_html(docx(b"img"), ["bei"])
+    assert "<h2>Hafenbuch</h2>" in got and 'nur <mark id="first-hit">bei</mark> Tag</em>' in got
+    assert "Ebbe &amp; &lt;Flut&gt;" in got and "<ol><li>Leinen lösen</li><li>Fender einholen</li></ol>" in got and "data:image/png;base64," in got
 
 
 def test_xlsx_html():
     got = render.xlsx_html(xlsx())
-    assert '<td colspan="2">单位</td>' in got and "<td>12,345</td><td>2024/1/1</td><td>12.50%</td>" in got and "<h3>二</h3>" in got
+    assert '<td colspan="3">Schiff</td>' in got and "<td>7,041.50</td><td>40%</td><td>2000/1/1 6:00</td>" in got and "<h3>Schiffe</h3>" in got
 
 
 def test_pptx_html_and_text():
-    assert '<aside class="notes">备注内容</aside>' in render.pptx_html(pptx())
-    assert render.render("a<b".encode(), ".txt", ["a"]) == '<pre><mark id="first-hit">a</mark>&lt;b</pre>'
+    assert '<aside class="notes">Lotse rufen</aside>' in render.pptx_html(pptx())
+    assert render.render("x>y".encode(), ".txt", ["y"]) == '<pre>x&gt;<mark id="first-hit">y</mark></pre>'
 
 
 def test_columns():
@@ -54,5 +54,5 @@ def test_columns():
 
 def test_render_column(spark):
     df = spark.createDataFrame([(bytearray(xlsx()), ".xlsx"), (bytearray(b"junk"), ".docx")], "content binary, ext string")
-    rows = [r[0] for r in df.select(render.renderer(["单位"])("content", "ext")).collect()]
+    rows = [r[0] for r in df.select(render.renderer(["Schiff"])("content", "ext")).collect()]
     assert "<mark" in rows[0] and 'class="error"' in rows[1]
