@@ -118,10 +118,10 @@ class Engine:
     def log(self, limit: int = 50) -> DataFrame:
         return self.store.read("sync_log").orderBy(F.desc("id")).limit(max(1, min(200, limit)))
 
-    def staleness(self) -> dict:
-        """How far disk and index differ, looked up once in a while."""
+    def staleness(self, now: bool = False) -> dict:
+        """How far disk and index differ, looked up once in a while, or now."""
         at, known = self._stale
-        if known is None or time.time() - at > self.settings.stale_seconds:
+        if now or known is None or time.time() - at > self.settings.stale_seconds:
             files, _ = scan(self.spark, self.settings)
             known = sync.stale(files, self.store.read("docs")).first().asDict()
             self._stale = (time.time(), known)

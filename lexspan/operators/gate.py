@@ -63,8 +63,9 @@ def named_paths(messages: DataFrame, names: DataFrame, key: str = "session_id")
 
 
 def evaluate(messages: DataFrame, names: DataFrame, sessions: DataFrame, triggers=TRIGGERS, explicit_only: bool = True) -> DataFrame:
-    """session_id, allowed and sync for each message.  sessions: session_id, enabled."""
+    """session_id, allowed, sync and asked (whether the message itself asks) for each message.  sessions: session_id, enabled."""
     named = named_paths(messages, names).select("session_id").distinct().withColumn("named", F.lit(True))
     out = messages.join(named, "session_id", "left").join(sessions.select("session_id", "enabled"), "session_id", "left")
-    allowed = F.lit(not explicit_only) | F.coalesce("enabled", F.lit(False)) | has_trigger(F.col("text"), triggers) | F.coalesce("named", F.lit(False))
-    return out.select("session_id", allowed.alias("allowed"), (allowed & wants_sync(F.col("text"))).alias("sync"))
+    asked = F.coalesce(has_trigger(F.col("text"), triggers), F.lit(False)) | F.coalesce("named", F.lit(False))
+    allowed = F.lit(not explicit_only) | F.coalesce("enabled", F.lit(False)) | asked
+    return out.select("session_id", allowed.alias("allowed"), (allowed & wants_sync(F.col("text"))).alias("sync"), asked.alias("asked"))

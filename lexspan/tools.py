@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+
 from .engine import Engine
 from .operators.gate import wants_sync
 
 LABELS = {"ocr": "OCR", "word": "Word", "metadata": "metadata only", "none": "no text"}
 REFUSED = "The knowledge base is used only when asked for by name, by a file's name, or in a session that it is switched on for."
+#: Files that a sync handles before the answer at most; with more to do, without an index or anew it runs behind the answer.
 BACKGROUND = 5
 
 
@@ -18,6 +21,8 @@ class Tools:
 
     def _asked(self, session: str, message: str) -> tuple[bool, bool]:
         row = self.engine.allowed(self.engine.spark.createDataFrame([(session, message)], "session_id string, text string")).first()
+        if row["asked"] and not self.engine.session(session):
+            self.engine.session(session, True)  # who has asked once needn't ask again
         return bool(row["allowed"]), bool(row["sync"])
 
     def kb_search(self, session: str, message: str, query: str, limit: int | None = None, dir: str | None = None, ext=None, days: float | None = None) -> str:
@@ -59,10 +64,21 @@ class Tools:
         if action in ("now", "rebuild"):
             if not sync:
                 return "The message doesn't ask for a sync."
-            done = self.engine.sync(full=action == "rebuild")
+            pending = sum(self.engine.staleness(now=True).values())
+            if action == "rebuild" or pending > BACKGROUND or not self.engine.store.read("docs").limit(1).count():
+                self.background = threading.Thread(target=self._sync_behind, args=(action == "rebuild",), daemon=True)
+                self.background.start()
+                return f"A sync of {pending} changed files has begun; action progress tells how far it is."
+            done = self.engine.sync()
             return ", ".join(f"{k}: {v}" for k, v in done.items() if k != "errors")
         return ", ".join(f"{k}: {v}" for k, v in (self.engine.progress if action == "progress" else self.engine.status()).items())
 
+    def _sync_behind(self, full: bool) -> None:
+        try:
+            self.engine.sync(full)
+        except Exception:  # the engine has logged it, and its progress says so
+            pass
+
     def kb_session(self, session: str, action: str = "status") -> str:
         on = self.engine.session(session, {"on": True, "off": False}.get(action))
         return "on" if on else "off"

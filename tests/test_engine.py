@@ -200,3 +200,15 @@ def test_http_and_tools(spark, tmp_path, folder):
     assert "航线手册.md" in tools.kb_list("s", "", "船舶档案") and tools.kb_read("s", "", "码头平面.dwg").startswith("no text")
     assert "doesn't ask" in tools.kb_status("s", "你好", "now") and "unchanged: 3" in tools.kb_status("s", "同步一下知识库", "now")
     assert tools.kb_session("s", "off") == "off" and "3 files" in tools.prompt_section("s")
+
+
+def test_asking_once_and_syncs_behind_the_answer(spark, tmp_path, folder):
+    from lexspan.tools import REFUSED, Tools
+
+    e = made(spark, tmp_path, folder)
+    tools = Tools(e)
+    assert tools.kb_list("k", "讲个笑话") == REFUSED and not e.session("k")
+    assert tools.kb_status("k", "用知识库同步一下", "now").startswith("A sync of 3 changed files")
+    tools.background.join(120)
+    assert e.progress["phase"] == "done" and e.progress["added"] == 3
+    assert e.session("k") and "船舶档案" in tools.kb_list("k", "讲个笑话") and tools.kb_list("l", "讲个笑话") == REFUSED
