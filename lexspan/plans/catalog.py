@@ -145,7 +145,7 @@ def source_labels(spark, sf):
     return _docs(spark, sf).groupBy(columns.source_label(F.col("text_source")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("human_sizes", f"WITH {_DOCS} SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', size / 1024.0::DOUBLE) || ' KB' ELSE printf('%.1f', size / 1048576.0::DOUBLE) || ' MB' END AS shown, CASE WHEN size * 1024 < 1048576 THEN printf('%.1f', size * 1.0::DOUBLE) || ' KB' ELSE printf('%.1f', size / 1024.0::DOUBLE) || ' MB' END AS larger FROM docs WHERE size > 0")
+@query("human_sizes", f"WITH {_DOCS} SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', floor(size * 10 / 1024.0::DOUBLE + 0.5::DOUBLE) / 10) || ' KB' ELSE printf('%.1f', floor(size * 10 / 1048576.0::DOUBLE + 0.5::DOUBLE) / 10) || ' MB' END AS shown, CASE WHEN size * 1024 < 1048576 THEN printf('%.1f', size * 1.0::DOUBLE) || ' KB' ELSE printf('%.1f', floor(size * 10 / 1024.0::DOUBLE + 0.5::DOUBLE) / 10) || ' MB' END AS larger FROM docs WHERE size > 0")
 def human_sizes(spark, sf):
     """Sizes as they are, and a thousand times as large, so that every unit occurs."""
     return _docs(spark, sf).where("size > 0").select("doc_id", columns.human_size(F.col("size")).alias("shown"), columns.human_size(F.col("size") * 1024).alias("larger"))
