@@ -42,6 +42,7 @@ class Settings:
     page_marks: bool = True
     fail_on_missing_root: bool = False
     stale_seconds: float = 300.0
+    store_parts: int = 64
     extra: dict = field(default_factory=dict, compare=False, repr=False)
 
     def updated(self, patch: dict) -> Settings:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions.snippets import snippets
-from .operators import corpus, gate, listing, search, sync
+from .operators import corpus, gate, index, listing, search, sync
 from .operators.store import Store
 from .plans.search_plan import build_plan, ext_list
 from .sources.extract import Providers, extract
@@ -20,14 +20,21 @@ from .sources.folders import any_of, scan
 
 
 TAG = "lexspan-sync"
+#: Paths of each change, and failures, that a log entry names; its summary holds all counts.
+LOGGED = 200
+HIT = (
+    "rank int, doc_id long, rel string, path string, name string, dir string, ext string, kind string, text_source string, status string, mtime timestamp, "
+    "ord int, heading string, char_start long, page int, score double, snippet string"
+)
 
 
 class Engine:
     def __init__(self, spark: SparkSession, store: str, settings: Settings, providers: Providers | None = None):
-        self.spark, self.store, self.settings, self.providers = spark, Store(spark, store), settings, providers or Providers()
+        self.spark, self.store, self.settings, self.providers = spark, Store(spark, store, settings.store_parts), settings, providers or Providers()
         self._lock, self._stale = threading.Lock(), (0.0, None)
         self.progress = {"phase": "idle"}
         self._held: list[DataFrame] = []  # what the running sync has cached
+        self._cancelled = False
 
     # Sync
 
@@ -35,17 +42,16 @@ class Engine:
         """Brings the index to what is on disk and gives the counts.  One at a time; full: from nothing; only: paths to try again."""
         if not self._lock.acquire(blocking=False):
             return {"running": True, **self.progress}
-        started, outcome = time.time(), {}
+        started, outcome, changes, failed = time.time(), {}, None, []
+        self._cancelled = False
         self.spark.addTag(TAG)
         try:
             self.progress = {"phase": "scan"}
-            if full:
-                self.store.clear("docs", "chunks")
             files, errors = scan(self.spark, self.settings)
             problems = {r["root"]: r["error"] for r in errors.collect()}
             if problems and self.settings.fail_on_missing_root:
                 raise FileNotFoundError(str(problems))
-            files, old = self._hold(files), self._hold(self.store.read("docs"))
+            files, old = self._hold(files), self._hold(self.store.empty("docs") if full else self.store.read("docs"))
             changes = sync.diff(files, old, images=self.settings.ocr_embedded_images and self.providers.ocr is not None)
             if only is not None:
                 keys = self.spark.createDataFrame([(k,) for k in only], "key string")
@@ -54,14 +60,19 @@ class Engine:
             outcome = sync.counters(changes).first().asDict() | {"errors": problems}
             todo = changes.where(F.col("change").isin("added", "updated", "images"))
             self.progress = {"phase": "extract", **outcome}
-            self._apply(files, old, todo, changes.where("change = 'removed'"), outcome)
+            failed = self._apply(files, old, todo, changes.where("change = 'removed'"), full, outcome)
             outcome["seconds"] = round(time.time() - started, 3)
-            self._log("info", "sync", changes, outcome)
+            self._log("info", "sync", changes, failed, outcome)
             self.progress = {"phase": "done", **outcome}
             return outcome
         except Exception as e:
+            if self._cancelled:
+                outcome["cancelled"] = True
+                self._log("warn", "sync cancelled", None, [], outcome)
+                self.progress = {"phase": "cancelled", **outcome}
+                return outcome
             self.progress = {"phase": "error", "error": str(e)[:500]}
-            self._log("error", f"sync failed: {e}", None, outcome)
+            self._log("error", f"sync failed: {e}", None, [], outcome)
             raise
         finally:
             self.spark.removeTag(TAG)
@@ -76,12 +87,15 @@ class Engine:
         return self._held[-1]
 
     def cancel(self) -> None:
-        """Stops a running sync's jobs; the tables stay as they were before the table in work."""
-        self.spark.interruptTag(TAG)
-
-    def _apply(self, files: DataFrame, old: DataFrame, todo: DataFrame, removed: DataFrame, outcome: dict) -> None:
-        if not todo.limit(1).count() and not removed.limit(1).count():
-            return
+        """Stops a running sync's jobs; all tables stay as they were before it."""
+        if self._lock.locked():
+            self._cancelled = True
+            self.spark.interruptTag(TAG)
+
+    def _apply(self, files: DataFrame, old: DataFrame, todo: DataFrame, removed: DataFrame, full: bool, outcome: dict) -> list:
+        """Rewrites the parts of the store that hold documents in todo or removed, or all if full; gives the first failures."""
+        if not full and not todo.limit(1).count() and not removed.limit(1).count():
+            return []
         wanted = sync.routed(files.join(todo.select("path"), "path", "left_semi"), any_of(self.settings.include), self.settings.max_file_bytes)
         made = extract(self.spark, wanted, self.settings, self.providers)
         # a document keeps its id; new ones follow the largest, in the order of their paths within ranges of paths
@@ -99,21 +113,47 @@ class Engine:
         gone = todo.select("path").union(removed.select("path"))
         docs = rows.select("doc_id", "path", "root", "rel", "dir", "name", "ext", "size", "mtime", "kind", "text_source", "status", "error", F.length("text").cast("long").alias("chars"), "media_ocr", F.current_timestamp().alias("indexed_at"))
         chunks = rows.select("doc_id", F.explode("chunks").alias("c")).select((F.col("doc_id") * corpus.CHUNKS + F.col("c.ord")).alias("chunk_id"), "doc_id", "c.ord", "c.heading", "c.page", "c.text")
-        stale_ids = old.join(gone, "path", "left_semi").select("doc_id")
-        outcome["failed"] = rows.where("status = 'error'").count()
-        self.store.write("chunks", sync.delete(self.store.read("chunks"), stale_ids, "doc_id").unionByName(chunks))
-        self.store.write("docs", sync.delete(old, gone).unionByName(docs))
-
-    def _log(self, level: str, message: str, changes: DataFrame | None, outcome: dict) -> None:
+        stale_ids = self._hold(old.join(gone, "path", "left_semi").select("doc_id"))
+        parts = None
+        if not full:
+            both = stale_ids.union(rows.select("doc_id"))
+            parts = {r["part"] for r in both.select(self.store.part().alias("part")).distinct().collect()}  # at most the store's parts
+
+        def kept(name: str) -> DataFrame:
+            return self.store.empty(name) if full else sync.delete(self.store.read(name, parts), stale_ids, "doc_id")
+
+        post = index.postings(chunks.join(rows.select("doc_id", "rel", "name"), "doc_id")).drop("part")
+        index.write(self.store, kept("docs").unionByName(docs), kept("chunks").unionByName(chunks), kept("postings").unionByName(post), parts)
+        bad = rows.where("status = 'error'").select("rel", "error")
+        outcome["failed"] = bad.count()
+        return bad.orderBy("rel").limit(LOGGED).collect()
+
+    def _log(self, level: str, message: str, changes: DataFrame | None, failed: list, outcome: dict) -> None:
+        """A log entry, and the summary and time of the last sync, which outlive the log's length."""
         log = self.store.read("sync_log")
         last = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        details = {"summary": {k: v for k, v in outcome.items() if k != "errors"}}
+        summary = {k: v for k, v in outcome.items() if k != "errors"}
+        details = {"summary": summary, "failed": [{"rel": r["rel"], "error": (r["error"] or "")[:200]} for r in failed]}
         if changes is not None:
-            some = changes.where("change not in ('unchanged')").orderBy("change", "path").limit(200).collect()
-            by = {k: [r["path"] for r in some if r["change"] == k] for k in ("added", "updated", "removed")}
+            by = {k: [r["path"] for r in changes.where(F.col("change") == k).orderBy("path").limit(LOGGED).collect()] for k in ("added", "updated", "removed")}
             details |= {"added": [{"rel": p, "note": ""} for p in by["added"]], "updated": [{"rel": p, "note": ""} for p in by["updated"]], "removed": by["removed"]}
-        entry = self.spark.createDataFrame([(last + 1, datetime.datetime.now(datetime.timezone.utc), level, message, json.dumps(details, ensure_ascii=False))], log.schema)
-        self.store.write("sync_log", sync.append_log(log, entry))
+        text = json.dumps(details, ensure_ascii=False)
+        while len(text) > sync.DETAILS:  # the longest list gives way, as a cut text could not be read again
+            longest = max((k for k in details if k != "summary"), key=lambda k: len(details[k]))
+            if not details[longest]:
+                break
+            details[longest] = details[longest][: len(details[longest]) // 2]
+            text = json.dumps(details, ensure_ascii=False)
+        now = datetime.datetime.now(datetime.timezone.utc)
+        entry = self.spark.createDataFrame([(last + 1, now, level, message, text)], log.schema)
+        meta = self.store.read("meta")
+        news = self.spark.createDataFrame([("last_sync_at", now.isoformat()), ("last_sync", json.dumps({"level": level, **summary}))], meta.schema)
+        self.store.swap([self.store.stage("sync_log", sync.append_log(log, entry)), self.store.stage("meta", sync.upsert(meta, news, "k"))])
+
+    def last_sync(self) -> dict:
+        """When the last sync ended and what it counted."""
+        known = {r["k"]: r["v"] for r in self.store.read("meta").collect()}  # two rows
+        return {"at": known["last_sync_at"], **json.loads(known["last_sync"])} if "last_sync" in known else {}
 
     def log(self, limit: int = 50) -> DataFrame:
         return self.store.read("sync_log").orderBy(F.desc("id")).limit(max(1, min(200, limit)))
@@ -134,16 +174,22 @@ class Engine:
         return self.store.read("chunks").join(docs, "doc_id")
 
     def search(self, text: str, limit: int | None = None, per_doc: int | None = None, dir: str | None = None, ext=None, days: float | None = None, as_of: str | None = None) -> DataFrame:
-        """The best hits with snippet and char_start, the place of the chunk in the document's text."""
+        """The best hits (30 at most) with snippet and char_start, the place of the chunk in the document's text."""
         plan = build_plan(text[:600])
-        filters = search.Filters(dir, tuple(ext_list(ext)), days, as_of)
-        hits = search.search(self._chunks(), plan, limit or self.settings.top_k, per_doc or self.settings.max_chunks_per_doc, filters)
         if not plan:
-            return hits
-        some = self.store.read("chunks").join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")  # 30 documents at most
+            return self.spark.createDataFrame([], HIT)
+        filters = search.Filters(dir, tuple(ext_list(ext)), days, as_of)
+        found = search.search(self._chunks(), plan, limit or self.settings.top_k, per_doc or self.settings.max_chunks_per_doc, filters, index.Index.of(self.store))
+        hits = self._small(found.withColumn("part", self.store.part()))
+        ids, parts = (sorted({r[c] for r in hits.collect()}) for c in ("doc_id", "part"))
+        some = self.store.read("chunks", set(parts)).where(F.col("doc_id").isin(*ids)) if ids else self.store.empty("chunks")
         starts = corpus.char_starts(some).select("chunk_id", "char_start")
         shown = hits.join(starts, "chunk_id").withColumn("snippet", snippets([*plan.phrases, *plan.terms])("text"))
-        return shown.select("rank", "doc_id", "rel", "path", "name", "dir", "ext", "kind", "text_source", "status", "mtime", "ord", "heading", "char_start", "page", "score", "snippet").orderBy("rank")
+        return shown.select(*[c.split()[0] for c in HIT.split(", ")]).orderBy("rank")
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        """A table of a few rows, computed now."""
+        return self.spark.createDataFrame(df.collect(), df.schema)
 
     def read(self, key: str | int, offset: int = 0, limit: int = 12_000) -> DataFrame:
         doc = listing.find_document(self.store.read("docs"), key)

@@ -4,14 +4,21 @@ A chunk is found by the terms of three fields: its text, its heading and its
 path, of weights 4, 2 and 1.5.  Fields hold distinct terms, so a chunk's weight
 for a term is the sum of the weights of the fields that have it, and its length
 is the number of terms of all fields.
+
+Stored postings lie in their document's part, sorted by term, so that a query
+reads the row groups of its terms only and a sync rewrites the parts of changed
+documents only.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import index_terms
+from .store import Store
 
 WEIGHTS = {"text": 4.0, "heading": 2.0, "path": 1.5}
 
@@ -24,11 +31,13 @@ def fields(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, doc_id, term, weight, dl: one row for each chunk and term, without a shuffle."""
+    """chunk_id, doc_id, term, weight, fields (how many have the term), dl: one row for each chunk and term, without a shuffle."""
     f = fields(chunks)
     terms = F.array_distinct(F.concat("t_text", "t_heading", "t_path"))
-    weight = sum(F.when(F.array_contains(f"t_{name}", F.col("term")), w).otherwise(0.0) for name, w in WEIGHTS.items())
-    return f.withColumn("term", F.explode(terms)).select("chunk_id", "doc_id", "term", weight.alias("weight"), "dl")
+    has = {name: F.array_contains(f"t_{name}", F.col("term")) for name in WEIGHTS}
+    weight = sum(F.when(has[name], w).otherwise(0.0) for name, w in WEIGHTS.items())
+    number = sum(F.when(has[name], 1).otherwise(0) for name in WEIGHTS)
+    return f.withColumn("term", F.explode(terms)).select("chunk_id", "doc_id", "term", weight.alias("weight"), number.alias("fields"), "dl")
 
 
 def document_frequencies(post: DataFrame) -> DataFrame:
@@ -36,7 +45,28 @@ def document_frequencies(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings as parquet, dealt by term and sorted by it, so that a query's terms read few row groups."""
-    post = postings(chunks)
-    post.repartition(buckets, "term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
+def part_statistics(store: Store, chunks: DataFrame, post: DataFrame) -> DataFrame:
+    """part, chunks and terms, the sum of their lengths: a row for each part."""
+    n = chunks.groupBy(store.part().alias("part")).agg(F.count("*").alias("chunks"))
+    terms = post.groupBy(store.part().alias("part")).agg(F.sum("fields").alias("terms"))
+    return n.join(terms, "part", "left").select("part", "chunks", F.coalesce("terms", F.lit(0)).alias("terms"))
+
+
+def write(store: Store, docs: DataFrame, chunks: DataFrame, post: DataFrame, parts: set[int] | None = None) -> None:
+    """Documents, chunks and their index take the place of those in these parts (None: all) in one step."""
+    written = [store.stage(name, df) for name, df in (("docs", docs), ("chunks", chunks), ("postings", post))]
+    stats = part_statistics(store, store.staged(written[1]), store.staged(written[2]))
+    store.swap([*written, store.stage("index_stats", stats)], parts)
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index: postings, a row of statistics for each part, and documents for filters."""
+
+    postings: DataFrame
+    stats: DataFrame
+    docs: DataFrame
+
+    @classmethod
+    def of(cls, store: Store) -> Index:
+        return cls(store.read("postings"), store.read("index_stats"), store.read("docs"))

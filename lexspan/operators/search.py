@@ -1,9 +1,10 @@
 """Lexical search: weighted BM25 and substring matches, fused by reciprocal rank.
 
-The statistics (chunks, mean length, chunks with each term) are one aggregate of
-a row; scoring is a second scan that only chunks with a term survive.  Neither
-explodes or shuffles the corpus: what is shuffled are at most 80 candidates of
-each list.
+With a stored index, BM25 reads the postings of the query's terms, which the
+parquet scan finds by their order, and a row of statistics for each part.
+Without one, the statistics are one aggregate of a row and scoring is a second
+scan that only chunks with a term survive.  Substrings are looked for in the
+texts.  Of each list at most 80 candidates go on.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import contains_folded
 from ..plans.search_plan import SearchPlan
 from .corpus import filtered
-from .index import WEIGHTS, fields
+from .index import WEIGHTS, Index, fields
 
 CANDIDATES = 80
 RRF_K = 60
@@ -50,22 +51,41 @@ def bm25(chunks: DataFrame, terms: tuple[str, ...], filters: Filters = Filters()
     stats = statistics(f, terms)  # one row, whatever the corpus
     scored = filters.apply(f).where(F.arrays_overlap("t_text", _terms(terms)) | F.arrays_overlap("t_heading", _terms(terms)) | F.arrays_overlap("t_path", _terms(terms)))
     scored = scored.join(F.broadcast(stats))
+    weight = lambda t: sum(F.when(F.array_contains(f"t_{name}", t), w).otherwise(0.0) for name, w in WEIGHTS.items())
+    return scored.withColumn("bm25", _total([weight(t) for t in terms])).drop("n", "avgdl", "df", "t_text", "t_heading", "t_path", "dl")
+
+
+def _total(weights: list):
+    """BM25 of a row with n, avgdl, df and dl, from its weight for each term."""
     total = F.lit(0.0)
-    for i, t in enumerate(terms):
-        w = sum(F.when(F.array_contains(f"t_{name}", t), weight).otherwise(0.0) for name, weight in WEIGHTS.items())
+    for i, w in enumerate(weights):
         df = F.col("df")[i]
         idf = F.greatest(F.ln((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         total = total + idf * w * (K1 + 1) / (w + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.withColumn("bm25", total).drop("n", "avgdl", "df", "t_text", "t_heading", "t_path", "dl")
+    return total
+
+
+def indexed_bm25(ix: Index, terms: tuple[str, ...], filters: Filters = Filters()) -> DataFrame:
+    """chunk_id and bm25, as bm25 gives them, from stored postings."""
+    found = ix.postings.where(F.col("term").isin(*terms))
+    corpus = ix.stats.agg(F.sum("chunks").alias("n"), (F.sum("terms") / F.sum("chunks")).alias("avgdl"))
+    df = found.agg(F.array(*[F.count_if(F.col("term") == t) for t in terms]).alias("df"))
+    if filters != Filters():
+        found = found.join(filters.apply(ix.docs).select("doc_id"), "doc_id", "left_semi")
+    weights = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, t in enumerate(terms)]
+    rows = found.groupBy("chunk_id").agg(F.max("dl").alias("dl"), *weights)
+    scored = rows.join(F.broadcast(corpus.join(df)))  # one row
+    return scored.select("chunk_id", _total([F.col(f"w{i}") for i in range(len(terms))]).alias("bm25"))
 
 
 def _terms(terms: tuple[str, ...]):
     return F.array(*map(F.lit, terms))
 
 
-def word_ranks(chunks: DataFrame, plan: SearchPlan, filters: Filters = Filters()) -> DataFrame:
-    """chunk_id and rank_a, from 0: the 80 best chunks by BM25, ties by id."""
-    best = bm25(chunks, plan.word_terms, filters).select("chunk_id", F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "chunk_id").limit(CANDIDATES)
+def word_ranks(chunks: DataFrame | None, plan: SearchPlan, filters: Filters = Filters(), ix: Index | None = None) -> DataFrame:
+    """chunk_id and rank_a, from 0: the 80 best chunks by BM25, ties by id.  ix: the chunks' stored index, read in their place."""
+    scored = bm25(chunks, plan.word_terms, filters) if ix is None else indexed_bm25(ix, plan.word_terms, filters)
+    best = scored.select("chunk_id", F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "chunk_id").limit(CANDIDATES)
     return best.select("chunk_id", "bm25", (F.row_number().over(Window.orderBy(F.desc("bm25"), "chunk_id")) - 1).alias("rank_a"))
 
 
@@ -79,9 +99,9 @@ def substring_ranks(chunks: DataFrame, plan: SearchPlan, filters: Filters = Filt
     return listed.groupBy("chunk_id").agg(F.min("term_idx").alias("term_idx"), (F.min_by("pos", "term_idx") - 1).alias("rank_b"))
 
 
-def fused(chunks: DataFrame, plan: SearchPlan, filters: Filters = Filters()) -> DataFrame:
+def fused(chunks: DataFrame, plan: SearchPlan, filters: Filters = Filters(), ix: Index | None = None) -> DataFrame:
     """The candidates of both lists with their columns, rank_a, rank_b and score."""
-    a = word_ranks(chunks, plan, filters).select("chunk_id", "rank_a") if plan.word_terms else None
+    a = word_ranks(chunks, plan, filters, ix).select("chunk_id", "rank_a") if plan.word_terms else None
     b = substring_ranks(chunks, plan, filters) if plan.contained else None
     if a is None or b is None:
         both = (a if b is None else b).withColumns({n: F.lit(None).cast("int") for n in (("rank_b", "term_idx") if b is None else ("rank_a",))})
@@ -110,12 +130,12 @@ def _score(plan: SearchPlan):
     return F.round(score - F.when(F.length("text") > LONG, LONG_CHUNK).otherwise(0.0), 6)
 
 
-def search(chunks: DataFrame, plan: SearchPlan, limit: int = 8, per_doc: int = 3, filters: Filters = Filters()) -> DataFrame:
+def search(chunks: DataFrame, plan: SearchPlan, limit: int = 8, per_doc: int = 3, filters: Filters = Filters(), ix: Index | None = None) -> DataFrame:
     """The best hits, at most per_doc of a document; rank from 1.  chunks: line or stored chunks with their document's columns."""
     if not plan:
         return chunks.limit(0).withColumns({"rank": F.lit(0), "score": F.lit(0.0)})
     order = [F.desc("score"), F.asc_nulls_last("rank_a"), F.asc_nulls_last("term_idx"), F.asc_nulls_last("rank_b"), F.asc("chunk_id")]
-    own = fused(chunks, plan, filters).withColumn("in_doc", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    own = fused(chunks, plan, filters, ix).withColumn("in_doc", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
     best = own.where(F.col("in_doc") <= max(1, min(10, per_doc))).orderBy(*order).limit(max(1, min(30, limit)))
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("in_doc")
 

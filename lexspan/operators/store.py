@@ -1,64 +1,188 @@
-"""Tables in versioned folders.
+"""Tables whose versions one manifest names.
 
-A write goes to a new version's folder; the newest folder with a success marker
-is the table.  Readers see the old version or the new one, never part of either,
-on any file system that Spark writes to.
+Tables of documents (docs, chunks, postings, index_stats) are dealt by doc_id to
+a fixed number of parts, so that a sync rewrites only the parts of documents that
+changed.  A write goes to a new folder; a new manifest then names, for every
+table and part, the folder that holds it.  So several tables change in one step:
+readers see all of them before it or after it, and a sync that dies between two
+writes leaves nothing but a folder that no manifest names.  Folders that are no
+longer named stay for a while, as lazy results may still read them.
+
+One process syncs a store at a time; others may read it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import tempfile
+import threading
+import time
+import uuid
+from dataclasses import dataclass
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-KEEP = 2
+#: Parts of a new store.  A sync rewrites a part for a document in it, so large stores want more.
+PARTS = 64
+#: Tasks that the rows of one part are dealt to at most, when it is written.
+SPREAD = 8
+#: Seconds for which replaced folders stay.
+GRACE = 3600.0
 
 CHUNK = "doc_id long, ord int, heading string, page int, text string"
 SCHEMAS = {
     "docs": "doc_id long, path string, root string, rel string, dir string, name string, ext string, size long, mtime timestamp, kind string, text_source string, status string, error string, chars long, media_ocr boolean, indexed_at timestamp",
     "chunks": "chunk_id long, " + CHUNK,
+    "postings": "term string, chunk_id long, doc_id long, weight double, fields int, dl int",
+    "index_stats": "chunks long, terms long",
     "sync_log": "id long, ts timestamp, level string, message string, details string",
     "image_ocr": "sha1 string, text string, bytes long, at timestamp",
     "session_state": "session_id string, enabled boolean, updated_at timestamp",
     "meta": "k string, v string",
 }
+#: Of the tables dealt to parts: what deals a part's rows to tasks, and their order in a file.
+DEALT = {"docs": ("doc_id", ["doc_id"]), "chunks": ("doc_id", ["chunk_id"]), "postings": ("term", ["term", "chunk_id"]), "index_stats": ("chunks", [])}
+
+_SWAP = threading.Lock()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors reach: spark.checkpoint.dir, or a temporary one of a local session without it."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lexspan-")
+
+
+@dataclass(frozen=True)
+class Staged:
+    """A table's new files, which no manifest names yet: the folder of each part ("" for tables that aren't dealt)."""
+
+    name: str
+    folders: dict[str, str]
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS, grace: float = GRACE):
+        self.spark, self.path, self.grace = spark, path.rstrip("/"), grace
+        self.parts = self.manifest().get("parts", parts)
 
-    def _fs(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def _at(self, *names: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self, name: str) -> list[int]:
-        fs, p = self._fs(name)
+    # Manifests
+
+    def _manifests(self) -> list[tuple[int, float]]:
+        """Number and time of each manifest."""
+        fs, p = self._at("manifest")
         if not fs.exists(p):
             return []
-        found = []
-        for s in fs.listStatus(p):
-            at = s.getPath()
-            if at.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
-                found.append(int(at.getName()[1:]))
-        return sorted(found)
-
-    def read(self, name: str) -> DataFrame:
-        have = self.versions(name)
-        schema = StructType.fromDDL(SCHEMAS[name])
-        if not have:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v{have[-1]}")
+        return sorted((int(s.getPath().getName()[:-5]), s.getModificationTime() / 1000) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
+
+    def _load(self, number: int) -> dict:
+        fs, p = self._at("manifest", f"{number:012d}.json")
+        with_stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8"))
+        finally:
+            with_stream.close()
+
+    def manifest(self) -> dict:
+        """The newest whole one."""
+        for number, _ in reversed(self._manifests()):
+            try:
+                return self._load(number)
+            except ValueError:  # its writer died
+                continue
+        return {"number": 0, "tables": {}}
+
+    def _publish(self, manifest: dict) -> bool:
+        fs, p = self._at("manifest", f"{manifest['number']:012d}.json")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError:
+            if fs.exists(p):
+                return False
+            raise
+        out.write(json.dumps(manifest).encode())
+        out.close()
+        return True
+
+    # Tables
+
+    def part(self) -> Column:
+        """The part of a row's document."""
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
+
+    def empty(self, name: str) -> DataFrame:
+        return self.spark.createDataFrame([], StructType.fromDDL(SCHEMAS[name]))
+
+    def _files(self, name: str, folders: dict[str, str]) -> DataFrame:
+        paths = [f"{self.path}/{name}/{folder}" + (f"/part={k}" if k else "") for k, folder in folders.items()]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.empty(name)
+
+    def read(self, name: str, parts: set[int] | None = None) -> DataFrame:
+        """A table, or some parts of it."""
+        folders = self.manifest()["tables"].get(name, {})
+        return self._files(name, {k: f for k, f in folders.items() if parts is None or not k or int(k) in parts})
+
+    def staged(self, s: Staged) -> DataFrame:
+        return self._files(s.name, s.folders)
+
+    def stage(self, name: str, df: DataFrame) -> Staged:
+        """Writes rows to a new folder; swap makes them the table's.  index_stats has the column part, others doc_id."""
+        folder = uuid.uuid4().hex
+        columns = StructType.fromDDL(SCHEMAS[name]).names
+        to = f"{self.path}/{name}/{folder}"
+        if name not in DEALT:
+            df.select(*columns).write.parquet(to)
+            return Staged(name, {"": folder})
+        key, order = DEALT[name]
+        rows = (df if "part" in df.columns else df.withColumn("part", self.part())).select(*columns, "part")
+        rows = rows.repartition("part", F.pmod(F.hash(key), F.lit(SPREAD))).sortWithinPartitions("part", *order)
+        rows.write.partitionBy("part").parquet(to)
+        fs, p = self._at(name, folder)
+        found = [s.getPath().getName() for s in fs.listStatus(p)]
+        return Staged(name, {n[5:]: folder for n in found if n.startswith("part=")})
+
+    def swap(self, staged: list[Staged], parts: set[int] | None = None) -> None:
+        """Makes staged rows the tables' in one step: the rows of these parts (None: all) give way to them."""
+        with _SWAP:
+            while True:
+                now = self.manifest()
+                tables = dict(now["tables"])
+                for s in staged:
+                    kept = {} if parts is None or s.name not in DEALT else {k: f for k, f in tables.get(s.name, {}).items() if int(k) not in parts}
+                    tables[s.name] = kept | s.folders
+                number = max([now["number"], *[n for n, _ in self._manifests()]]) + 1
+                if self._publish({"number": number, "parts": self.parts, "tables": tables}):
+                    break
+            self._sweep()
 
     def write(self, name: str, df: DataFrame) -> None:
-        """The next version; older ones than the last before it go."""
-        fs, p = self._fs(name)
-        have = self.versions(name)
-        number = (have[-1] if have else 0) + 1
-        columns = [f.name for f in StructType.fromDDL(SCHEMAS[name])]
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{name}/v{number}")
-        for old in have[: -(KEEP - 1)]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p, f"v{old}"), True)
+        self.swap([self.stage(name, df)])
 
     def clear(self, *names: str) -> None:
-        for name in names:
-            self.write(name, self.spark.createDataFrame([], StructType.fromDDL(SCHEMAS[name])))
+        self.swap([Staged(n, {}) for n in names])
+
+    def _sweep(self) -> None:
+        """Deletes what manifests replaced long ago named and their successors don't; each is unlike any later folder."""
+        have = self._manifests()
+        for (number, _), (later, at) in zip(have, have[1:]):
+            if time.time() - at < self.grace:
+                return
+            try:
+                old, new = ({(t, k, f) for t, by in self._load(n)["tables"].items() for k, f in by.items()} for n in (number, later))
+            except ValueError:
+                continue
+            used = {(t, f) for t, _, f in new}
+            for names in {(t, f) if (t, f) not in used else (t, f, f"part={k}") for t, k, f in old - new}:
+                fs, p = self._at(*names)
+                fs.delete(p, True)
+            fs, p = self._at("manifest", f"{number:012d}.json")
+            fs.delete(p, False)

@@ -6,11 +6,14 @@ the tables hold none.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking, columns, snippets
 from ..operators import corpus, gate, index, listing, search, sync
+from ..operators.store import Store, shared_folder
 from .search_plan import build_plan
 
 QUERIES: dict = {}
@@ -72,6 +75,28 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.line_chunks(_docs(spark, sf), ["rel", "name", "dir", "ext", "mtime"])
 
 
+_STORES: dict = {}
+
+
+def _store(spark: SparkSession, sf: str) -> Store:
+    """The tables' chunks and index, written once for a session, as a sync of the engine writes them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        store = Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        d, c = _docs(spark, sf), _chunks(spark, sf)
+        lacking = {"root": "string", "error": "string", "media_ocr": "boolean", "indexed_at": "timestamp"}
+        index.write(store, d.withColumns({n: F.lit(None).cast(t) for n, t in lacking.items()}), c, index.postings(c))
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, index.Index]:
+    """Stored chunks with the columns of their document, and their index."""
+    store = _store(spark, sf)
+    ix = index.Index.of(store)
+    return store.read("chunks").join(ix.docs.select("doc_id", "rel", "name", "dir", "ext", "mtime"), "doc_id"), ix
+
+
 # Projections, statistics, listings
 
 
@@ -212,7 +237,7 @@ def postings(spark, sf):
 
 @query("doc_freq", f"WITH {_FIELDS} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(list_concat(list_concat(t_text, t_heading), t_path))) AS term FROM sized) GROUP BY 1")
 def doc_freq(spark, sf):
-    return index.document_frequencies(index.postings(_chunks(spark, sf)))
+    return index.document_frequencies(_store(spark, sf).read("postings"))
 
 
 @query("chunk_len", f"WITH {_FIELDS} SELECT chunk_id, CAST(dl AS INTEGER) AS dl FROM sized")
@@ -263,9 +288,20 @@ hits AS (SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank
 
 @query("bm25_topk", f"WITH {_FIELDS}, {_bm25_sql()} SELECT chunk_id, bm25, rank_a FROM a")
 def bm25_topk(spark, sf):
+    return search.word_ranks(None, _PLAN, ix=index.Index.of(_store(spark, sf)))
+
+
+@query("bm25_scan", ORACLES["bm25_topk"])
+def bm25_scan(spark, sf):
+    """The same without an index."""
     return search.word_ranks(_chunks(spark, sf), _PLAN)
 
 
+@query("index_statistics", f"WITH {_FIELDS} SELECT count(*) AS chunks, CAST(sum(dl) AS BIGINT) AS terms FROM sized")
+def index_statistics(spark, sf):
+    return _store(spark, sf).read("index_stats").agg(F.sum("chunks").alias("chunks"), F.sum("terms").alias("terms"))
+
+
 @query("substring_rank", f"WITH {_CHUNKS}, {_substring_sql()} SELECT chunk_id, term_idx, rank_b FROM b")
 def substring_rank(spark, sf):
     return search.substring_ranks(_chunks(spark, sf), _PLAN)
@@ -273,12 +309,14 @@ def substring_rank(spark, sf):
 
 @query("rrf_search", f"WITH {_FIELDS}, {_fused_sql()} SELECT rank, chunk_id, doc_id, rel, score FROM hits")
 def rrf_search(spark, sf):
-    return search.search(_chunks(spark, sf), _PLAN).select("rank", "chunk_id", "doc_id", "rel", "score")
+    chunks, ix = _stored(spark, sf)
+    return search.search(chunks, _PLAN, ix=ix).select("rank", "chunk_id", "doc_id", "rel", "score")
 
 
 @query("candidate_count", f"WITH {_FIELDS}, {_bm25_sql()}, {_substring_sql()} SELECT count(*) AS n FROM a FULL OUTER JOIN b USING (chunk_id)")
 def candidate_count(spark, sf):
-    return search.fused(_chunks(spark, sf), _PLAN).agg(F.count("*").alias("n"))
+    chunks, ix = _stored(spark, sf)
+    return search.fused(chunks, _PLAN, ix=ix).agg(F.count("*").alias("n"))
 
 
 _WHERE = f"(dir = 'src1' OR starts_with(dir, 'src1/')) AND ext IN ('.txt') AND mtime >= TIMESTAMP '{AS_OF}' - INTERVAL 400 DAY"
@@ -287,12 +325,14 @@ _WHERE = f"(dir = 'src1' OR starts_with(dir, 'src1/')) AND ext IN ('.txt') AND m
 @query("rrf_search_filtered", f"WITH {_FIELDS}, {_fused_sql(_WHERE, 20, 1)} SELECT rank, chunk_id, doc_id, rel, score FROM hits")
 def rrf_search_filtered(spark, sf):
     filters = search.Filters("src1", (".txt",), 400, AS_OF)
-    return search.search(_chunks(spark, sf), _PLAN, 20, 1, filters).select("rank", "chunk_id", "doc_id", "rel", "score")
+    chunks, ix = _stored(spark, sf)
+    return search.search(chunks, _PLAN, 20, 1, filters, ix).select("rank", "chunk_id", "doc_id", "rel", "score")
 
 
 @query("group_hits", f"WITH {_FIELDS}, {_fused_sql('true', 30, 10)} SELECT doc_id, rank, more FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) - 1 AS more, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS n FROM hits) WHERE n = 1")
 def group_hits(spark, sf):
-    return search.group_hits(search.search(_chunks(spark, sf), _PLAN, 30, 10)).select("doc_id", "rank", "more")
+    chunks, ix = _stored(spark, sf)
+    return search.group_hits(search.search(chunks, _PLAN, 30, 10, ix=ix)).select("doc_id", "rank", "more")
 
 
 @query("phrase_bonus", f"WITH {_CHUNKS} SELECT chunk_id, CASE WHEN contains(lower(text), 'of the') THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM chunks")
@@ -302,7 +342,8 @@ def phrase_bonus(spark, sf):
 
 @query("snippets")
 def snippet_query(spark, sf):
-    hits = search.search(_chunks(spark, sf), _PLAN)
+    chunks, ix = _stored(spark, sf)
+    hits = search.search(chunks, _PLAN, ix=ix)
     return hits.select("rank", "chunk_id", snippets.snippets([*_PLAN.phrases, *_PLAN.terms])("text").alias("snippet"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexspan.config import Settings
 from lexspan.engine import Engine
 from lexspan.operators import gate, sync
+from lexspan.operators.store import SCHEMAS, Store
 from lexspan.sources.extract import Providers
 
 
@@ -23,7 +24,7 @@ def folder(tmp_path):
 
 
 def made(spark, tmp_path, root, providers=None, **more):
-    return Engine(spark, str(tmp_path / "store"), Settings(roots=(str(root),), **more), providers)
+    return Engine(spark, str(tmp_path / "store"), Settings(roots=(str(root),), store_parts=4, **more), providers)
 
 
 def test_sync_search_read_list(spark, tmp_path, folder):
@@ -70,6 +71,62 @@ def test_sync_sees_changes(spark, tmp_path, folder):
     assert e.inside_roots(e.store.read("docs").first()["path"]) and not e.inside_roots("/etc/passwd")
 
 
+def test_one_file_rewrites_one_part(spark, tmp_path, folder):
+    e = Engine(spark, str(tmp_path / "store"), Settings(roots=(str(folder),), store_parts=16))
+    for i in range(12):
+        (folder / f"n{i}.txt").write_text(f"heron {i}")
+    e.sync()
+    before = e.store.manifest()["tables"]
+    (folder / "n3.txt").write_text("changed heron and egret")
+    e.sync()
+    after = e.store.manifest()["tables"]
+    for name in ("docs", "chunks", "postings", "index_stats"):
+        assert sum(before[name][k] != after[name][k] for k in before[name]) == 1 and before[name].keys() == after[name].keys()
+    stats = e.store.read("index_stats").agg(F.sum("chunks"), F.sum("terms")).first()
+    post = e.store.read("postings")
+    assert tuple(stats) == (e.store.read("chunks").count(), post.dropDuplicates(["chunk_id"]).agg(F.sum("dl")).first()[0])
+    assert e.search("egret").count() == 1 and e.search("heron", limit=30).count() == 12
+    assert e.last_sync()["updated"] == 1 and e.last_sync()["unchanged"] == 14
+
+
+def test_a_sync_that_dies_leaves_the_tables_as_they_were(spark, tmp_path, folder, monkeypatch):
+    e = made(spark, tmp_path, folder)
+    e.sync()
+    before = e.store.manifest()["tables"]
+    (folder / "新.txt").write_text("pelican")
+    real = e.store.stage
+
+    def dies(name, df):
+        if name == "postings":
+            raise OSError("no space")
+        return real(name, df)
+
+    monkeypatch.setattr(e.store, "stage", dies)
+    with pytest.raises(OSError):
+        e.sync()
+    after = e.store.manifest()["tables"]
+    assert all(before[n] == after[n] for n in ("docs", "chunks", "postings", "index_stats"))
+    assert e.search("pelican").count() == 0 and e.search("泊位").count() == 2 and e.last_sync()["level"] == "error"
+    monkeypatch.undo()
+    assert e.sync()["added"] == 1 and e.search("pelican").count() == 1
+
+
+def test_replaced_folders_go_after_a_while(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), parts=2, grace=0.0)
+    rows = lambda *ids: spark.createDataFrame([(i * 10, i, 0, "", None, f"t{i}") for i in ids], SCHEMAS["chunks"])
+    s.write("chunks", rows(*range(20)))
+    s.write("session_state", spark.createDataFrame([("a", True, None)], SCHEMAS["session_state"]))
+    part = spark.range(1).select(F.lit(7).cast("long").alias("doc_id")).select(s.part()).first()[0]
+    kept = s.read("chunks", {part}).where("doc_id <> 7")
+    s.swap([s.stage("chunks", kept)], {part})
+    assert sorted(r["doc_id"] for r in s.read("chunks").collect()) == [i for i in range(20) if i != 7]
+    assert s.read("session_state").count() == 1 and len(list((tmp_path / "s" / "manifest").glob("*.json"))) == 1
+    (tmp_path / "s" / "manifest" / "000000000099.json").write_text('{"number": 9')  # half a manifest: the one before it holds
+    assert s.read("chunks").count() == 19
+    s.clear("chunks")
+    assert s.read("chunks").count() == 0 and s.read("session_state").count() == 1
+
+
 def test_names_that_begin_with_an_underscore_or_a_dot(spark, tmp_path):
     root = tmp_path / "files"
     (root / "_drafts" / ".old").mkdir(parents=True)
