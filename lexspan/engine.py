@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .config import Settings
 from .functions.snippets import snippets
 from .operators import corpus, gate, index, listing, search, sync
-from .operators.store import Store
+from .operators.store import Staged, Store
 from .plans.search_plan import build_plan, ext_list
 from .sources.extract import Providers, extract
 from .sources.folders import any_of, scan
@@ -97,11 +97,13 @@ class Engine:
         if not full and not todo.limit(1).count() and not removed.limit(1).count():
             return []
         wanted = sync.routed(files.join(todo.select("path"), "path", "left_semi"), any_of(self.settings.include), self.settings.max_file_bytes)
-        made = extract(self.spark, wanted, self.settings, self.providers)
+        cache = self.store.read("image_ocr")
+        known = {r["sha1"]: r["text"] for r in cache.select("sha1", "text").collect()} if self.providers.ocr else {}  # sync.CACHE_ROWS at most
+        made = extract(self.spark, wanted, self.settings, self.providers, known)
         # a document keeps its id; new ones follow the largest, in the order of their paths within ranges of paths
         last = old.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
-        known = old.select("path", F.col("doc_id").alias("old_id"))
-        fresh = wanted.join(known, "path", "left").select("path", "old_id")
+        numbers = old.select("path", F.col("doc_id").alias("old_id"))
+        fresh = wanted.join(numbers, "path", "left").select("path", "old_id")
         new = self._hold(fresh.where("old_id is null").select("path").repartitionByRange("path").withColumn("part", F.spark_partition_id()))
         sizes = sorted((r["part"], r["count"]) for r in new.groupBy("part").count().collect())  # a row for each partition
         offsets = F.create_map(*[F.lit(x) for i, (part, _) in enumerate(sizes) for x in (part, sum(n for _, n in sizes[:i]))]) if sizes else None
@@ -123,11 +125,17 @@ class Engine:
             return self.store.empty(name) if full else sync.delete(self.store.read(name, parts), stale_ids, "doc_id")
 
         post = index.postings(chunks.join(rows.select("doc_id", "rel", "name"), "doc_id")).drop("part")
-        index.write(self.store, kept("docs").unionByName(docs), kept("chunks").unionByName(chunks), kept("postings").unionByName(post), parts)
+        index.write(self.store, kept("docs").unionByName(docs), kept("chunks").unionByName(chunks), kept("postings").unionByName(post), parts, self._pictures(cache, rows))
         bad = rows.where("status = 'error'").select("rel", "error")
         outcome["failed"] = bad.count()
         return bad.orderBy("rel").limit(LOGGED).collect()
 
+    def _pictures(self, cache: DataFrame, rows: DataFrame) -> tuple[Staged, ...]:
+        """The cache with the pictures that were read in this sync, staged; none if none were."""
+        read = rows.select(F.explode("images").alias("i")).select("i.sha1", "i.text", "i.bytes", F.current_timestamp().alias("at"))
+        read = read.where(F.length("text") <= sync.CACHE_TEXT)  # a longer text is read again
+        return (self.store.stage("image_ocr", sync.cache_put(cache, read)),) if read.limit(1).count() else ()
+
     def _log(self, level: str, message: str, changes: DataFrame | None, failed: list, outcome: dict) -> None:
         """A log entry, and the summary and time of the last sync, which outlive the log's length."""
         log = self.store.read("sync_log")

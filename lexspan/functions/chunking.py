@@ -90,7 +90,7 @@ class Chunker:
         self._flush(True)
         if not self.done and any(titles):
             joined = "\n".join(t for t in titles if t)
-            self.done.append({"ord": 0, "heading": self.heading[:HEADING_CHARS], "page": self.page, "text": joined})
+            self.done.append({"ord": 0, "heading": " / ".join(t for t in titles if t)[:HEADING_CHARS], "page": self.page, "text": joined})
         return self.done
 
     def _para(self, text: str) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import index_terms
-from .store import Store
+from .store import Staged, Store
 
 WEIGHTS = {"text": 4.0, "heading": 2.0, "path": 1.5}
 
@@ -52,11 +52,11 @@ def part_statistics(store: Store, chunks: DataFrame, post: DataFrame) -> DataFra
     return n.join(terms, "part", "left").select("part", "chunks", F.coalesce("terms", F.lit(0)).alias("terms"))
 
 
-def write(store: Store, docs: DataFrame, chunks: DataFrame, post: DataFrame, parts: set[int] | None = None) -> None:
-    """Documents, chunks and their index take the place of those in these parts (None: all) in one step."""
+def write(store: Store, docs: DataFrame, chunks: DataFrame, post: DataFrame, parts: set[int] | None = None, also: tuple[Staged, ...] = ()) -> None:
+    """Documents, chunks and their index take the place of those in these parts (None: all) in one step, with what else is staged."""
     written = [store.stage(name, df) for name, df in (("docs", docs), ("chunks", chunks), ("postings", post))]
     stats = part_statistics(store, store.staged(written[1]), store.staged(written[2]))
-    store.swap([*written, store.stage("index_stats", stats)], parts)
+    store.swap([*written, *also, store.stage("index_stats", stats)], parts)
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,8 @@
 """Incremental sync as joins: the difference of disk and index, routing, upserts and retention.
 
 A state's truth is the full outer join of what is on disk with what is indexed.
-Tables without a transactional format are written to a new version's folder and
-a pointer is swapped after the write, so readers never see half of one.
+The store writes to new folders and swaps a manifest after the write, so readers
+never see half of a sync.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 WITH_IMAGES = (".docx", ".docm", ".pptx", ".xlsx", ".xlsm")
 LOG_ROWS, CACHE_ROWS = 500, 5000
+#: Characters of a cached picture's text: with the rows, what bounds the cache that a sync sends to its tasks.
+CACHE_TEXT = 20_000
 MESSAGE, DETAILS = 4000, 20_000
 
 

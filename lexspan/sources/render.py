@@ -18,7 +18,12 @@ MAX_ROWS, MAX_COLUMNS, MAX_HTML = 5000, 256, 4 << 20
 _MIME = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "bmp": "bmp", "tif": "tiff", "tiff": "tiff"}
 
 # Number formats that a spreadsheet doesn't spell out.
-BUILTIN_FORMATS = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 14: "yyyy/m/d", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 22: "yyyy/m/d h:mm", 37: "#,##0", 38: "#,##0", 39: "#,##0.00", 40: "#,##0.00"}
+# The number formats that a workbook needn't state.  Those of 27 to 36 and 50 to 58 are East Asian dates, all shown alike.
+BUILTIN_FORMATS = {
+    1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 14: "yyyy/m/d", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM",
+    20: "h:mm", 21: "h:mm:ss", 22: "yyyy/m/d h:mm", 37: "#,##0", 38: "#,##0", 39: "#,##0.00", 40: "#,##0.00", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mm:ss",
+    **dict.fromkeys([*range(27, 37), *range(50, 59)], "yyyy/m/d"),
+}
 
 
 def _picture(archive: Archive, part: str) -> str:
@@ -146,10 +151,10 @@ def format_number(value: str, code: str) -> str:
     except ValueError:
         return value
     bare = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code.split(";")[0])
-    if re.search(r"[yd]", bare, re.I) or re.search(r"m", bare, re.I) and not re.search(r"[0#]", bare):
+    if re.search(r"[yd]", bare, re.I) or re.search(r"[mhs]", bare, re.I) and not re.search(r"[0#]", bare) and bare.lower() != "standard":
         at = datetime.datetime(1970, 1, 1) + datetime.timedelta(days=n - 25569)
         day = f"{at.year}/{at.month}/{at.day}"
-        return day + (f" {at.hour}:{at.minute:02d}" if re.search(r"h", bare, re.I) else "")
+        return day + (f" {at.hour}:{at.minute:02d}" if re.search(r"[hs]", bare, re.I) else "")
     decimals = len(m[1]) if (m := re.search(r"\.([0#?]+)", bare)) else 0
     if "%" in bare:
         return f"{n * 100:.{decimals}f}%"

@@ -1,8 +1,9 @@
 import os
 import time
+import uuid
 
 import pytest
-from office_files import docx
+from office_files import archive, docx
 from pyspark.sql import functions as F
 
 from lexspan.config import Settings
@@ -169,6 +170,29 @@ def test_pictures_in_office_files(spark, tmp_path):
     assert with_ocr.sync()["images"] == 0
 
 
+def test_pictures_are_read_once_and_scans_without_text(spark, tmp_path):
+    root, calls = tmp_path / "files", tmp_path / "calls"
+    root.mkdir(), calls.mkdir()
+    (root / "a.docx").write_bytes(docx(b"q" * 30000))
+    names = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    bare = {"word/document.xml": f"<w:document {names}><w:body><w:p/></w:body></w:document>", "word/media/page.png": b"scan"}
+    (root / "scan.docx").write_bytes(archive(**bare))
+    assert made(spark, tmp_path / "none", root).sync()["failed"] == 0
+    assert made(spark, tmp_path / "none", root).status()["by_status"] == {"indexed": 1, "needs_ocr": 1}
+
+    def ocr(kind, data):
+        (calls / uuid.uuid4().hex).write_bytes(data[:4])
+        return f"grue {data[:4].decode()}"
+
+    e = made(spark, tmp_path, root, Providers(ocr=ocr))
+    e.sync()
+    assert e.status()["by_text_source"] == {"native": 1, "ocr": 1} and e.search("scan grue").first()["rel"] == "scan.docx"
+    (root / "b.docx").write_bytes(docx(b"q" * 30000))
+    assert e.sync()["added"] == 1 and e.search("qqqq", limit=9).count() == 2
+    assert sorted(p.read_bytes() for p in calls.iterdir()) == [b"qqqq", b"scan"]
+    assert {(r["text"], r["bytes"]) for r in e.store.read("image_ocr").collect()} == {("grue qqqq", 30000), ("grue scan", 4)}
+
+
 def test_sessions_and_gate(spark, tmp_path, folder):
     e = made(spark, tmp_path, folder)
     e.sync()

@@ -56,3 +56,12 @@ def test_render_column(spark):
     df = spark.createDataFrame([(bytearray(xlsx()), ".xlsx"), (bytearray(b"junk"), ".docx")], "content binary, ext string")
     rows = [r[0] for r in df.select(render.renderer(["Schiff"])("content", "ext")).collect()]
     assert "<mark" in rows[0] and 'class="error"' in rows[1]
+
+
+def test_formats_by_number():
+    from lexspan.sources.render import BUILTIN_FORMATS, format_number
+
+    shown = {i: format_number("46037.75", BUILTIN_FORMATS[i]) for i in (14, 20, 21, 22, 31, 36, 45, 46, 47, 50, 58)}
+    assert {i for i, t in shown.items() if t == "2026/1/15"} == {14, 31, 36, 50, 58}
+    assert {t for i, t in shown.items() if i in (20, 21, 22, 45, 46, 47)} == {"2026/1/15 18:00"}
+    assert format_number("7.5", "General") == "7.5" and format_number("0.25", BUILTIN_FORMATS[9]) == "25%"

@@ -56,7 +56,7 @@ def test_chunk_pages_long_overlap_titles_blank():
     two = chunk_blocks([Block("para", c * 320) for c in "XYZ"], 320, 60)
     assert two[1]["text"].startswith("X")
     titles = chunk_blocks([Block("heading", t, 2) for t in ("概述", "系统架构", "接口")])
-    assert len(titles) == 1 and "系统架构" in titles[0]["text"]
+    assert len(titles) == 1 and "系统架构" in titles[0]["text"] and titles[0]["heading"] == "概述 / 系统架构 / 接口"
     assert chunk_blocks([Block("para", "   ")]) == [] and chunk_blocks([]) == []
 
 
