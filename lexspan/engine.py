@@ -177,17 +177,13 @@ class Engine:
 
     # Queries
 
-    def _chunks(self) -> DataFrame:
-        docs = self.store.read("docs").select(*[c for c in corpus.DOC_COLUMNS])
-        return self.store.read("chunks").join(docs, "doc_id")
-
     def search(self, text: str, limit: int | None = None, per_doc: int | None = None, dir: str | None = None, ext=None, days: float | None = None, as_of: str | None = None) -> DataFrame:
         """The best hits (30 at most) with snippet and char_start, the place of the chunk in the document's text."""
         plan = build_plan(text[:600])
         if not plan:
             return self.spark.createDataFrame([], HIT)
         filters = search.Filters(dir, tuple(ext_list(ext)), days, as_of)
-        found = search.search(self._chunks(), plan, limit or self.settings.top_k, per_doc or self.settings.max_chunks_per_doc, filters, index.Index.of(self.store))
+        found = search.search(self.store.read("chunks"), plan, limit or self.settings.top_k, per_doc or self.settings.max_chunks_per_doc, filters, index.Index.of(self.store))
         hits = self._small(found.withColumn("part", self.store.part()))
         ids, parts = (sorted({r[c] for r in hits.collect()}) for c in ("doc_id", "part"))
         some = self.store.read("chunks", set(parts)).where(F.col("doc_id").isin(*ids)) if ids else self.store.empty("chunks")

@@ -89,25 +89,32 @@ def word_ranks(chunks: DataFrame | None, plan: SearchPlan, filters: Filters = Fi
     return best.select("chunk_id", "bm25", (F.row_number().over(Window.orderBy(F.desc("bm25"), "chunk_id")) - 1).alias("rank_a"))
 
 
-def substring_ranks(chunks: DataFrame, plan: SearchPlan, filters: Filters = Filters()) -> DataFrame:
+def substring_ranks(chunks: DataFrame, plan: SearchPlan, filters: Filters = Filters(), ix: Index | None = None) -> DataFrame:
     """chunk_id, term_idx and rank_b, from 0: of each contained term the first 80 chunks by id; a chunk's rank is that of the
     first term in plan order that lists it."""
     hits = F.filter(F.array(*[F.when(contains_folded(F.col("text"), t), F.lit(i)) for i, t in enumerate(plan.contained)]), lambda i: i.isNotNull())
-    found = filters.apply(chunks).select("chunk_id", F.explode(hits).alias("term_idx"))
+    if ix is None:
+        found = filters.apply(chunks).select("chunk_id", F.explode(hits).alias("term_idx"))
+    else:  # documents are joined with the few chunks that have a term
+        found = chunks.select("chunk_id", "doc_id", F.explode(hits).alias("term_idx"))
+        if filters != Filters():
+            found = found.join(filters.apply(ix.docs).select("doc_id"), "doc_id", "left_semi")
     first = Window.partitionBy("term_idx").orderBy("chunk_id")
     listed = found.withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= CANDIDATES)
     return listed.groupBy("chunk_id").agg(F.min("term_idx").alias("term_idx"), (F.min_by("pos", "term_idx") - 1).alias("rank_b"))
 
 
 def fused(chunks: DataFrame, plan: SearchPlan, filters: Filters = Filters(), ix: Index | None = None) -> DataFrame:
-    """The candidates of both lists with their columns, rank_a, rank_b and score."""
+    """The candidates of both lists with their columns, rank_a, rank_b and score.  With ix, chunks needs no columns of documents."""
     a = word_ranks(chunks, plan, filters, ix).select("chunk_id", "rank_a") if plan.word_terms else None
-    b = substring_ranks(chunks, plan, filters) if plan.contained else None
+    b = substring_ranks(chunks, plan, filters, ix) if plan.contained else None
     if a is None or b is None:
         both = (a if b is None else b).withColumns({n: F.lit(None).cast("int") for n in (("rank_b", "term_idx") if b is None else ("rank_a",))})
     else:
         both = a.join(b, "chunk_id", "full_outer")
     rows = chunks.join(F.broadcast(both), "chunk_id")  # at most 80 for each of 21 lists
+    if ix is not None:
+        rows = ix.docs.join(F.broadcast(rows), "doc_id")
     return rows.withColumn("score", _score(plan))
 
 

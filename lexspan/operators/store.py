@@ -86,11 +86,11 @@ class Store:
 
     def _load(self, number: int) -> dict:
         fs, p = self._at("manifest", f"{number:012d}.json")
-        with_stream = fs.open(p)
+        stream = fs.open(p)
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8"))
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
-            with_stream.close()
+            stream.close()
 
     def manifest(self) -> dict:
         """The newest whole one."""
@@ -167,6 +167,11 @@ class Store:
     def write(self, name: str, df: DataFrame) -> None:
         self.swap([self.stage(name, df)])
 
+    def delete_on_exit(self) -> None:
+        """The store goes when the driver ends."""
+        fs, p = self._at()
+        fs.deleteOnExit(p)
+
     def clear(self, *names: str) -> None:
         self.swap([Staged(n, {}) for n in names])
 

@@ -82,19 +82,19 @@ def _store(spark: SparkSession, sf: str) -> Store:
     """The tables' chunks and index, written once for a session, as a sync of the engine writes them."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORES:
-        store = Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        store = Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", parts=16)  # only ever written whole, so few do
         d, c = _docs(spark, sf), _chunks(spark, sf)
         lacking = {"root": "string", "error": "string", "media_ocr": "boolean", "indexed_at": "timestamp"}
         index.write(store, d.withColumns({n: F.lit(None).cast(t) for n, t in lacking.items()}), c, index.postings(c))
+        store.delete_on_exit()
         _STORES[key] = store
     return _STORES[key]
 
 
 def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, index.Index]:
-    """Stored chunks with the columns of their document, and their index."""
+    """Stored chunks and their index."""
     store = _store(spark, sf)
-    ix = index.Index.of(store)
-    return store.read("chunks").join(ix.docs.select("doc_id", "rel", "name", "dir", "ext", "mtime"), "doc_id"), ix
+    return store.read("chunks"), index.Index.of(store)
 
 
 # Projections, statistics, listings
