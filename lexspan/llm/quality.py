@@ -10,7 +10,8 @@ products, and the nearest labels vote, weighted by similarity.
 
 Defined results: a null or empty text, and one whose vector is zero, scores the
 share of label 1 among the labelled documents (0.5 without any).  A document
-labelled more than once counts with its smallest label.
+labelled more than once counts with its smallest label.  Of neighbours with equal
+cosines those of smaller ids vote.
 """
 
 from __future__ import annotations
@@ -115,6 +116,9 @@ class Model:
             cos = x @ self.vectors.T
             k = min(NEIGHBOURS, len(self.labels))
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            last = np.take_along_axis(cos, near, 1).min(1, keepdims=True)
+            for row in np.flatnonzero((cos >= last).sum(1) > k):  # more equal neighbours than places; vectors are in order of id
+                near[row] = np.argsort(-cos[row], kind="stable")[:k]
             w = np.clip(np.take_along_axis(cos, near, 1).astype(np.float64), 0, None) ** POWER
             total = w.sum(1)
             some = total > 1e-12
