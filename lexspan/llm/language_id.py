@@ -1,9 +1,11 @@
 """Language identification with bit-sliced Bloom filters.
 
 One table of slots holds, for each slot, a bitmask of languages.  A language's
-most frequent character n-grams set its bit in the `HASHES` slots of each
-n-gram; and-ing the slots of an n-gram returns, in one probe, every language
-that contains it.  A text's n-grams give one count per language, from which the
+character n-grams set its bit in the `HASHES` slots of each n-gram; and-ing the
+slots of an n-gram returns, in one probe, every language that contains it.  A
+language contains the n-grams of its sample, however rare, but for those that are
+over `FOREIGN` times as frequent in another language: labels aren't always right,
+and such n-grams come from other languages' texts among its own.  A text's n-grams give one count per language, from which the
 hits that chance alone would give (the language's false-positive rate, known
 from its share of set slots) are taken out; the largest corrected count wins.
 
@@ -27,9 +29,11 @@ from ._spark import held_out, release, share, table
 from ._text import mix
 
 GRAM = 4
-GRAMS_PER_LANGUAGE = 6000
 HASHES = 2
-SLOTS = 1 << 17
+#: Times that an n-gram is more frequent in another language from which on it isn't counted as a language's own.
+FOREIGN = 20
+#: Slots for each n-gram of the language that has most, at least; and slots at least.
+SLOTS_PER_GRAM, SLOTS = 16, 1 << 17
 #: Labelled documents that a language is learnt from, at most (in expectation); the fit is a bounded sample by hash of id.
 SAMPLE_PER_LANGUAGE = 1500
 BLOCK = 1 << 18
@@ -66,6 +70,10 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text)) if not text.isascii() else not text.upper() == text.lower()
 
 
+def _slot(h: np.ndarray, i: int, slots: int) -> np.ndarray:
+    return ((h >> np.uint64(32 * i)) & np.uint64(slots - 1)).astype(np.intp)
+
+
 @dataclass
 class Model:
     """slots: one row of mask bytes for each slot; rate: false positives of each language."""
@@ -78,9 +86,9 @@ class Model:
         width = self.slots.shape[1]
         seen, total = np.zeros((width, 256), dtype=np.int64), 0
         for h in _grams(text):
-            found = self.slots[(h & np.uint64(SLOTS - 1)).astype(np.intp)]
+            found = self.slots[_slot(h, 0, len(self.slots))]
             for i in range(1, HASHES):
-                found = found & self.slots[((h >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.intp)]
+                found = found & self.slots[_slot(h, i, len(self.slots))]
             for j in range(width):
                 seen[j] += np.bincount(found[:, j], minlength=256)
             total += len(h)
@@ -104,20 +112,29 @@ def fit(examples: list[tuple[str, str]]) -> Model:
     for lang, text in examples:
         by.setdefault(lang, []).append(text)
     langs = sorted(by, key=lambda x: (-len(by[x]), x))
-    slots = np.zeros((SLOTS, max(1, -(-len(langs) // 8))), dtype=np.uint8)
-    rate = np.zeros(len(langs))
-    for i, lang in enumerate(langs):
+    counted = []
+    for lang in langs:
         grams, n = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
         for at in range(0, len(by[lang]), 200):  # the counts of some texts at a time
             part = np.concatenate([h for t in by[lang][at : at + 200] for h in _grams(t)] or [grams[:0]])
             keys, inv = np.unique(np.concatenate((grams, part)), return_inverse=True)
             n = np.bincount(inv, weights=np.concatenate((n, np.ones(len(part)))), minlength=len(keys)).astype(np.int64)
             grams = keys
-        top = grams[np.lexsort((grams, -n))[:GRAMS_PER_LANGUAGE]]
+        counted.append((grams, n / max(1, n.sum())))
+    every = np.unique(np.concatenate([g for g, _ in counted] or [np.empty(0, dtype=np.uint64)]))
+    most = np.zeros(len(every))
+    for grams, often in counted:
+        at = np.searchsorted(every, grams)
+        most[at] = np.maximum(most[at], often)
+    own = [grams[often * FOREIGN >= most[np.searchsorted(every, grams)]] for grams, often in counted]
+    size = max(SLOTS, 1 << (SLOTS_PER_GRAM * max(map(len, own), default=0)).bit_length())
+    slots = np.zeros((size, max(1, -(-len(langs) // 8))), dtype=np.uint8)
+    rate = np.zeros(len(langs))
+    for i, grams in enumerate(own):
+        bit = np.uint8(1 << (i % 8))
         for j in range(HASHES):
-            slots[((top >> np.uint64(20 * j)) & np.uint64(SLOTS - 1)).astype(np.intp), i // 8] |= np.uint8(1 << (i % 8))
-        share_set = np.count_nonzero(slots[:, i // 8] & (1 << (i % 8))) / SLOTS
-        rate[i] = share_set**HASHES
+            slots[_slot(grams, j, size), i // 8] |= bit
+        rate[i] = (np.count_nonzero(slots[:, i // 8] & bit) / size) ** HASHES
     return Model(langs, slots, rate)
 
 

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 from helpers import documents
@@ -41,6 +44,43 @@ def test_bloom_never_misses():
         assert hits[model.languages.index(lang)] == total
 
 
+def plain_grams(text):
+    letters = "".join(c if c.isalpha() else " " for c in f" {text} ".lower())
+    while "  " in letters:
+        letters = letters.replace("  ", " ")
+    letters = letters.ljust(language_id.GRAM)
+    return [letters[i : i + language_id.GRAM] for i in range(len(letters) - language_id.GRAM + 1)]
+
+
+def test_language_against_plain_sets():
+    """Every n-gram that a language holds counts, however rare; the counts are those of plain sets but for some false positives."""
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(400)] for lang, letters in (("a", "abcdefgh"), ("b", "efghijkl"), ("c", "aeijklmno"))}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    examples = [(lang, say(lang, 60)) for lang in words for _ in range(30)] + [("a", say("b", 20))]
+    model = language_id.fit(examples)
+    often = {lang: Counter(g for x, t in examples if x == lang for g in plain_grams(t)) for lang in words}
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in often.items()}
+    own = {lang: {g for g, x in s.items() if x * language_id.FOREIGN >= max(o.get(g, 0) for o in share.values())} for lang, s in share.items()}
+    for lang in words:
+        for _ in range(30):
+            text = say(lang, rng.randint(1, 40))
+            hits, total = model.counts(text)
+            grams = plain_grams(text)
+            assert total == len(grams)
+            for other, n in zip(model.languages, hits):
+                exact = sum(g in own[other] for g in grams)
+                assert exact <= n <= exact + 0.05 * total + 2
+            assert model.predict(text)[0] == max(model.languages, key=lambda x: sum(g in own[x] for g in grams))
+
+
+def test_stray_texts_of_another_language_do_not_count():
+    clean = [("en", "the cat and the dog of the house " * 20)] * 40
+    model = language_id.fit([*clean, *[("fr", "le chat et le chien de la maison " * 20)] * 39, ("fr", "the cat and the dog")])
+    assert model.predict("the dog and the cat")[0] == "en"
+    assert model.counts("the dog and the cat")[0][model.languages.index("fr")] < 8
+
+
 def test_many_languages_use_more_bytes():
     words = [f"{a}{b}{c}" * 3 for a in "abcde" for b in "fghi" for c in "kl"]
     model = language_id.fit([(w, w + " " + w) for w in words])
@@ -82,6 +122,28 @@ def test_quality_voting_against_plain_loops():
     assert (quality.fit([], []).score(["a", None]) == np.array([0.5, 0.5])).all()
 
 
+def test_equal_neighbours_vote_by_id():
+    model = quality.fit(["good prose with words"] * 40 + ["###$$$"] * 3, [1] * 10 + [0] * 33)
+    same = model.vectors[0].copy()
+    model.vectors[:40] = same
+    assert model.score(["good prose with words"])[0] == pytest.approx(10 / 15)
+
+
+def test_quality_odd_tables(spark):
+    """Doubled labels count once with the smallest, repeated rows each get a score, long texts and other columns do no harm, nothing gives nothing."""
+    rows = [(i, f"good prose number {i} with words", ) for i in range(40)] + [(i, f"###$$$ {i} !!!") for i in range(40, 80)] + [(90, None), (91, ""), (92, "good prose " * 60_000), (92, "good prose " * 60_000)]
+    docs = documents(spark, rows).withColumn("score", F.lit("x"))
+    marks = [(i, int(i < 40)) for i in range(80)] + [(3, 1), (50, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int").withColumn("text", F.lit("y"))
+    model = quality.train(docs, labels)
+    made = docs.select("doc_id", quality.scorer(spark, model)("text").alias("got")).collect()
+    assert len(made) == 84 and all(0 <= r["got"] <= 1 for r in made)
+    assert len({r["got"] for r in made if r["doc_id"] == 92}) == 1
+    assert all(r["got"] == model.base for r in made if r["doc_id"] in (90, 91))
+    assert quality.train(docs, labels.limit(0)).base == 0.5
+    assert docs.limit(0).select(quality.scorer(spark, model)("text")).collect() == []
+
+
 def test_oracles_run_in_duckdb(spark):
     from lexspan.llm.queries import ORACLES, QUERIES
 
