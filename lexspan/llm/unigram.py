@@ -5,7 +5,8 @@ bytes.  Encoding is the Viterbi path of the highest total score; of equal ones
 the path whose last piece starts earliest wins, at every end.  White space is
 escaped by a marker that only begins pieces, and characters that no piece holds
 stand alone, so a text is a sequence of independent chunks; the distinct chunks
-of a batch go through the trie in lock step as arrays, long ones one by one.  A
+of a batch go through the trie in lock step as arrays, long ones one by one, in
+memory that doesn't grow with their length but for the ids.  A
 character that no piece covers becomes its bytes' pieces, or the unknown piece.
 
 Scores add up in double precision, whatever the length of the text; the result is
@@ -23,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 LONG = 160
-CACHE = 400_000
+#: Places of a long chunk between two looks at what of its path is settled.
+SETTLE = 1 << 16
+#: Chunks that a model remembers, and characters and bytes of ids that they take, before it forgets all.
+CACHE, CACHE_SIZE = 400_000, 32 << 20
 BATCH_CHARS = 1 << 20
 
 
@@ -158,6 +163,8 @@ class Unigram:
         self.unknown = pieces.kind.index(UNKNOWN) if UNKNOWN in pieces.kind else 0
         keys = [(t.encode(), i) for i, (t, k) in enumerate(zip(pieces.text, pieces.kind)) if k in (NORMAL, USER) and t]
         self.trie = DoubleArray(keys)
+        self.reach = max([4, *(len(k) for k, _ in keys)])
+        self._plain: tuple[list, ...] | None = None
         by_byte = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(pieces.text, pieces.kind)) if k == BYTE}
         self.byte_id = np.array([by_byte[b] for b in range(256)]) if len(by_byte) == 256 else None
         self.byte_of = {i: b for b, i in by_byte.items()}
@@ -168,9 +175,10 @@ class Unigram:
             alone = "".join(c for c in "\t\n\r\x0b\x0c" if c not in known)
             self.chunk = re.compile(f" +[^ {alone}]*|[{alone}]|[^ {alone}]+" if alone else " +[^ ]*|[^ ]+")
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.held = 0
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "held": 0, "_plain": None}
 
     # encoding
 
@@ -268,39 +276,64 @@ class Unigram:
         return ids[keep]
 
     def _long(self, data: bytes) -> np.ndarray:
-        base, check, value, score = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.score.tolist()
-        n, low = len(data), -float("inf")
-        best, back = [low] * (n + 5), [(0, 0)] * (n + 5)
-        best[0] = 0.0
-        for p in range(n):
+        """The ids of one chunk.  Now and then the paths to all ends that can still be reached are followed back to where they meet; up to there
+        the path is settled, and given out."""
+        if self._plain is None:
+            self._plain = tuple(x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.score))
+        base, check, value, score = self._plain
+        n, low, reach = len(data), -float("inf"), self.reach
+        best, back = [0.0], [(0, -1)]  # of the places from off on; back holds places counted from off
+        off, look, made = 0, SETTLE, []
+
+        def path(end: int) -> np.ndarray:
+            ids: list[int] = []
+            while end > 0:
+                begin, i = back[end]
+                ids += [i] if i >= 0 else [self.unknown] if self.byte_id is None else self.byte_id[np.frombuffer(data[off + begin : off + end], np.uint8)][::-1].tolist()
+                end = begin
+            return np.array(ids[::-1], dtype="<u4")
+
+        for at in range(n):
+            p = at - off
+            if p == look:
+                open_ends = {e for e in range(p, len(best)) if best[e] > low}
+                while len(open_ends) > 1 or max(open_ends) >= p:
+                    end = max(open_ends)
+                    open_ends.remove(end)
+                    open_ends.add(back[end][0])
+                met = open_ends.pop()
+                made.append(path(met))
+                best, back = best[met:], [(b - met, i) for b, i in back[met:]]
+                off, p = off + met, p - met
+                look = p + SETTLE
+            short = p + reach + 1 - len(best)
+            if short > 0:
+                best += [low] * (short + SETTLE)
+                back += [(0, -1)] * (short + SETTLE)
             if best[p] == low:
                 continue
-            state, single, chars, d = 0, False, int(_CHAR[data[p]]), p
+            state, single, chars, d = 0, False, int(_CHAR[data[at]]), at
             while d < n:
                 to = base[state] + data[d]
                 if to <= 0 or check[to] != state:
                     break
                 state, d = to, d + 1
                 if value[state] >= 0:
-                    single = single or d - p == chars
+                    single = single or d - at == chars
                     s = best[p] + score[value[state]]
-                    if s > best[d]:
-                        best[d], back[d] = s, (p, value[state])
+                    if s > best[d - off]:
+                        best[d - off], back[d - off] = s, (p, value[state])
             if not single and best[p] + self.unknown_score > best[p + chars]:
                 best[p + chars], back[p + chars] = best[p] + self.unknown_score, (p, -1)
-        ids: list[int] = []
-        while n > 0:
-            p, i = back[n]
-            ids += [i] if i >= 0 else [self.unknown] if self.byte_id is None else self.byte_id[np.frombuffer(data[p:n], np.uint8)][::-1].tolist()
-            n = p
-        out = np.array(ids[::-1], dtype="<u4")
+        out = np.concatenate([*made, path(n - off)])
         return out if self.byte_id is not None else self._one_unknown(out)
 
     # decoding
 
     def _surface(self, ids) -> str:
         parts, raw = [], bytearray()
-        for i in list(ids) + [-1]:
+        ids = np.asarray(ids, dtype=np.int64)
+        for i in chain(chain.from_iterable(ids[at : at + SETTLE].tolist() for at in range(0, len(ids), SETTLE)), [-1]):
             if i in self.byte_of:
                 raw.append(self.byte_of[i])
                 continue
@@ -325,11 +358,12 @@ class Unigram:
                 size += len(texts[to] or "")
                 to += 1
             split = [self.chunks(t or "") for t in texts[at:to]]
-            if len(self.cache) > CACHE:
-                self.cache = {}
+            if not self.cache or len(self.cache) > CACHE or self.held > CACHE_SIZE:
+                self.cache, self.held = {}, 0
             fresh = list(set().union(*split).difference(self.cache))
             for chunk, ids in zip(fresh, self.paths(fresh)):
-                self.cache[chunk] = (ids.tobytes(), self._surface(ids.tolist()))
+                self.cache[chunk] = (ids.tobytes(), self._surface(ids))
+                self.held += len(chunk) + 4 * len(ids)
             for parts in split:
                 got = list(map(self.cache.__getitem__, parts))
                 text = "".join([g[1] for g in got])
