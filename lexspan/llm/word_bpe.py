@@ -30,7 +30,8 @@ from ._spark import release, table
 
 MODEL = "word_bpe_49k.json"
 LIMIT = 2048
-CACHE = 400_000
+#: Pieces that an encoder remembers, and characters and bytes of ids that they take, before it forgets all.
+CACHE, CACHE_SIZE = 400_000, 32 << 20
 SLOTS = 1 << 18
 BATCH_CHARS = 1 << 20
 #: White space as Unicode defines it; Python's own also has U+001C to U+001F.
@@ -172,7 +173,7 @@ def normalise(piece: str) -> str:
 
 
 class Encoder:
-    """Texts to token ids or counts, with each distinct piece encoded once.  Memory: CACHE pieces, then the cache starts anew."""
+    """Texts to token ids or counts, with each distinct piece encoded once.  Memory: CACHE pieces of CACHE_SIZE in all, then the cache starts anew."""
 
     def __init__(self, path: str | None = None):
         path = path or model_path()
@@ -180,6 +181,7 @@ class Encoder:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.byte_of = {c: b for b, c in enumerate(_byte_chars())}
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self.marks = regex.compile("|".join(map(regex.escape, self.merges.specials)) or "(?!)")
 
     def _pieces(self, text: str) -> list[str]:
@@ -237,6 +239,7 @@ class Encoder:
 
     def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         flat, ends = ids.tobytes(), (ends * 4).tolist()
+        self.held += len(flat) + sum(map(len, pieces))
         self.cache.update(zip(pieces, [flat[a:b] for a, b in zip([0, *ends], ends)]))
 
     def encode_batch(self, texts: list[str | None]):
@@ -249,8 +252,8 @@ class Encoder:
                 to += 1
             pieces = [self._pieces(t or "") for t in texts[at:to]]
             at = to
-            if len(self.cache) > CACHE:
-                self.cache = {}
+            if not self.cache or len(self.cache) > CACHE or self.held > CACHE_SIZE:
+                self.cache, self.held = {}, 0
             fresh = list(set().union(*pieces).difference(self.cache))
             if fresh:
                 self._learn(fresh)

@@ -9,6 +9,7 @@ import tokenizers
 from helpers import documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexspan.llm import packing, unigram, word_bpe
 
@@ -51,6 +52,23 @@ def test_cache_starts_anew(monkeypatch, library):
     assert [np.frombuffer(x, "<u4").tolist() for x in word_bpe.Encoder().encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_remembered_pieces_are_bounded_in_size(monkeypatch, library):
+    monkeypatch.setattr(word_bpe, "CACHE_SIZE", 50)
+    monkeypatch.setattr(word_bpe, "BATCH_CHARS", 20)
+    texts = [f"some text {i} " * 3 for i in range(30)]
+    made = word_bpe.Encoder()
+    assert [np.frombuffer(x, "<u4").tolist() for x in made.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(made.cache) < 10
+
+
+def test_no_rows_repeated_rows_and_other_columns(spark):
+    rows = documents(spark, [(1, "the cat"), (1, "the cat"), (2, None)])
+    wide = rows.withColumn("n_tokens", F.lit("x")).withColumn("over_limit", F.lit("y"))
+    got = sorted(map(tuple, word_bpe.count_tokens(wide).collect()))
+    assert got == [(1, 7, 2, False), (1, 7, 2, False), (2, 0, 0, False)]
+    assert word_bpe.count_tokens(rows.limit(0)).collect() == []
+
+
 def test_packing(spark, library):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     rows = packing.op9_packing(spark, DATA).collect()
@@ -168,6 +186,37 @@ def test_long_chunks_agree(model):
         assert model._long(data).tolist() == model._together([data])[0].tolist()
 
 
+def test_long_chunks_settle_piece_by_piece(model, monkeypatch):
+    rng = random.Random(5)
+    for alphabet in ("abcthe中é", "a", "the", "😀x", "Ωж"):
+        data = ("▁" + "".join(rng.choice(alphabet) for _ in range(3000))).encode()
+        want = model._long(data).tolist()
+        for places in (1, 7, 64, 500):
+            monkeypatch.setattr(unigram, "SETTLE", places)
+            assert model._long(data).tolist() == want
+        monkeypatch.undo()
+
+
+def test_long_chunks_take_little_memory(model):
+    import tracemalloc
+
+    data = ("▁" + "abcthe" * 100_000).encode()
+    model._long(data[:1000])
+    tracemalloc.start()
+    ids = model._long(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) > 100_000 and peak < 30 * len(data)
+
+
+def test_remembered_chunks_are_bounded_in_size(model, monkeypatch):
+    monkeypatch.setattr(unigram, "CACHE_SIZE", 50)
+    monkeypatch.setattr(unigram, "BATCH_CHARS", 20)
+    texts = [f"some text {i} " * 3 for i in range(30)]
+    fresh = unigram.Unigram(model.pieces)
+    assert [a for a, _ in fresh.encode_batch(texts)] == [a for a, _ in model.encode_batch(texts)] and len(fresh.cache) < 10
+
+
 def test_bad_bytes_decode(model):
     e4 = int(model.byte_id[0xE4])
     assert model.decode([e4]) == "�" and model.decode([int(model.byte_id[b]) for b in "中".encode()]) == "中"
