@@ -23,10 +23,15 @@ from .store import Staged, Store
 WEIGHTS = {"text": 4.0, "heading": 2.0, "path": 1.5}
 
 
+def path_terms(rows: DataFrame) -> DataFrame:
+    """Adds t_path, the terms of rel and name.  Chunks may carry that of their document."""
+    return rows.withColumn("t_path", index_terms(F.concat_ws(" ", "rel", "name")))
+
+
 def fields(chunks: DataFrame) -> DataFrame:
-    """Adds the term arrays t_text, t_heading, t_path and dl, the number of terms; needs rel and name."""
+    """Adds the term arrays t_text, t_heading, t_path and dl, the number of terms; needs t_path, or rel and name."""
     out = chunks.withColumn("t_text", index_terms(F.col("text"))).withColumn("t_heading", index_terms(F.col("heading")))
-    out = out.withColumn("t_path", index_terms(F.concat_ws(" ", "rel", "name")))
+    out = out if "t_path" in out.columns else path_terms(out)
     return out.withColumn("dl", F.size("t_text") + F.size("t_heading") + F.size("t_path"))
 
 
@@ -34,10 +39,11 @@ def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, doc_id, term, weight, fields (how many have the term), dl: one row for each chunk and term, without a shuffle."""
     f = fields(chunks)
     terms = F.array_distinct(F.concat("t_text", "t_heading", "t_path"))
-    has = {name: F.array_contains(f"t_{name}", F.col("term")) for name in WEIGHTS}
+    # those of the text come first, so their place tells them; the other fields are short
+    has = {"text": F.col("at") < F.size("t_text")} | {name: F.array_contains(f"t_{name}", F.col("term")) for name in ("heading", "path")}
     weight = sum(F.when(has[name], w).otherwise(0.0) for name, w in WEIGHTS.items())
     number = sum(F.when(has[name], 1).otherwise(0) for name in WEIGHTS)
-    return f.withColumn("term", F.explode(terms)).select("chunk_id", "doc_id", "term", weight.alias("weight"), number.alias("fields"), "dl")
+    return f.select("*", F.posexplode(terms).alias("at", "term")).select("chunk_id", "doc_id", "term", weight.alias("weight"), number.alias("fields"), "dl")
 
 
 def document_frequencies(post: DataFrame) -> DataFrame:
@@ -45,6 +51,11 @@ def document_frequencies(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def statistics(chunks: DataFrame) -> DataFrame:
+    """chunks and terms, the sum of their lengths, in one row; nothing is stored or shuffled for it."""
+    return fields(chunks).agg(F.count("*").alias("chunks"), F.sum("dl").alias("terms"))
+
+
 def part_statistics(store: Store, chunks: DataFrame, post: DataFrame) -> DataFrame:
     """part, chunks and terms, the sum of their lengths: a row for each part."""
     n = chunks.groupBy(store.part().alias("part")).agg(F.count("*").alias("chunks"))

@@ -1,8 +1,12 @@
 """What must not grow faster than the tables: rows broadcast, shuffled and written."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from lexspan.operators import gate
+from lexspan.operators import gate, index
+from lexspan.plans import catalog
+
+DATA = "/root/testdata/sf0.001"
 
 
 def executed(df) -> str:
@@ -22,3 +26,19 @@ def test_named_paths_never_broadcasts_clauses(spark, monkeypatch, few):
     assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 8
     plan = executed(found)
     assert "BuildLeft" not in plan and ("Broadcast" in plan) == (few > 0)
+
+
+def test_index_statistics_need_no_store(spark, monkeypatch):
+    def stored(*_):
+        raise AssertionError("a store is written for two numbers")
+
+    monkeypatch.setattr(catalog, "_store", stored)
+    row = catalog.QUERIES["index_statistics"](spark, DATA).first()
+    monkeypatch.undo()
+    kept = catalog._store(spark, DATA).read("index_stats").agg(F.sum("chunks"), F.sum("terms")).first()
+    assert tuple(row) == tuple(kept)
+
+
+def test_texts_are_tokenised_once(spark):
+    plan = index.fields(catalog._chunks(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("com.ibm.icu") == 2, "one for the text, one for the path, none for the empty heading"
