@@ -63,9 +63,10 @@ def part_statistics(store: Store, chunks: DataFrame, post: DataFrame) -> DataFra
     return n.join(terms, "part", "left").select("part", "chunks", F.coalesce("terms", F.lit(0)).alias("terms"))
 
 
-def write(store: Store, docs: DataFrame, chunks: DataFrame, post: DataFrame, parts: set[int] | None = None, also: tuple[Staged, ...] = ()) -> None:
-    """Documents, chunks and their index take the place of those in these parts (None: all) in one step, with what else is staged."""
-    written = [store.stage(name, df) for name, df in (("docs", docs), ("chunks", chunks), ("postings", post))]
+def write(store: Store, docs: DataFrame, chunks: DataFrame, post: DataFrame, parts: set[int] | None = None, also: tuple[Staged, ...] = (), dealt: bool = False) -> None:
+    """Documents, chunks and their index take the place of those in these parts (None: all) in one step, with what else is staged.
+    dealt: chunks and postings were made of dealt documents, and so are written where they are made."""
+    written = [store.stage("docs", docs), store.stage("chunks", chunks, dealt), store.stage("postings", post, dealt)]
     stats = part_statistics(store, store.staged(written[1]), store.staged(written[2]))
     store.swap([*written, *also, store.stage("index_stats", stats)], parts)
 

@@ -13,6 +13,7 @@ One process syncs a store at a time; others may read it.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import tempfile
 import threading
@@ -29,6 +30,10 @@ from pyspark.sql.types import StructType
 PARTS = 64
 #: Tasks that the rows of one part are dealt to at most, when it is written.
 SPREAD = 8
+#: Bytes of text whose chunks and postings a task sorts and writes about, where documents are dealt at once.
+TASK_BYTES = 16 << 20
+#: Of dealt tables.
+CODEC = "zstd"
 #: Seconds for which replaced folders stay.
 GRACE = 3600.0
 
@@ -69,7 +74,9 @@ class Staged:
 class Store:
     def __init__(self, spark: SparkSession, path: str, parts: int = PARTS, grace: float = GRACE):
         self.spark, self.path, self.grace = spark, path.rstrip("/"), grace
-        self.parts = self.manifest().get("parts", parts)
+        known = self.manifest()
+        self.parts = known.get("parts", parts)
+        self.deal = known.get("deal", "xxhash64" if known["number"] else "hash")  # older stores were dealt by xxhash64
 
     def _at(self, *names: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
@@ -117,7 +124,12 @@ class Store:
 
     def part(self) -> Column:
         """The part of a row's document."""
-        return F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
+        return F.pmod(F.hash("doc_id") if self.deal == "hash" else F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
+
+    def dealt(self, docs: DataFrame, text_bytes: int) -> DataFrame:
+        """Documents, dealt by doc_id so that a task has about TASK_BYTES of their text and, if part() goes by the hash that
+        deals them, documents of one part only.  What is made of them row by row can be staged without another shuffle."""
+        return docs.repartition(self.parts * max(1, -(-text_bytes // (self.parts * TASK_BYTES))), "doc_id")
 
     def empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], StructType.fromDDL(SCHEMAS[name]))
@@ -134,8 +146,9 @@ class Store:
     def staged(self, s: Staged) -> DataFrame:
         return self._files(s.name, s.folders)
 
-    def stage(self, name: str, df: DataFrame) -> Staged:
-        """Writes rows to a new folder; swap makes them the table's.  index_stats has the column part, others doc_id."""
+    def stage(self, name: str, df: DataFrame, dealt: bool = False) -> Staged:
+        """Writes rows to a new folder; swap makes them the table's.  index_stats has the column part, others doc_id.  dealt:
+        each task has rows of few parts already, as those of dealt documents."""
         folder = uuid.uuid4().hex
         columns = StructType.fromDDL(SCHEMAS[name]).names
         to = f"{self.path}/{name}/{folder}"
@@ -144,12 +157,27 @@ class Store:
             return Staged(name, {"": folder})
         key, order = DEALT[name]
         rows = (df if "part" in df.columns else df.withColumn("part", self.part())).select(*columns, "part")
-        rows = rows.repartition("part", F.pmod(F.hash(key), F.lit(SPREAD))).sortWithinPartitions("part", *order)
-        rows.write.partitionBy("part").parquet(to)
+        if dealt:  # a file for each part is open, so that no sort by part is needed, which would come before the order
+            with self._open_files():
+                rows.sortWithinPartitions(*order).write.partitionBy("part").parquet(to, compression=CODEC)
+        else:
+            rows = rows.repartition("part", F.pmod(F.hash(key), F.lit(SPREAD))).sortWithinPartitions("part", *order)
+            rows.write.partitionBy("part").parquet(to, compression=CODEC)
         fs, p = self._at(name, folder)
         found = [s.getPath().getName() for s in fs.listStatus(p)]
         return Staged(name, {n[5:]: folder for n in found if n.startswith("part=")})
 
+    @contextlib.contextmanager
+    def _open_files(self):
+        """Meanwhile a task may write as many files at once as there are parts."""
+        key = "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(self.parts))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
+
     def swap(self, staged: list[Staged], parts: set[int] | None = None) -> None:
         """Makes staged rows the tables' in one step: the rows of these parts (None: all) give way to them."""
         with _SWAP:
@@ -160,7 +188,7 @@ class Store:
                     kept = {} if parts is None or s.name not in DEALT else {k: f for k, f in tables.get(s.name, {}).items() if int(k) not in parts}
                     tables[s.name] = kept | s.folders
                 number = max([now["number"], *[n for n, _ in self._manifests()]]) + 1
-                if self._publish({"number": number, "parts": self.parts, "tables": tables}):
+                if self._publish({"number": number, "parts": self.parts, "deal": self.deal, "tables": tables}):
                     break
             self._sweep()
 

@@ -1,9 +1,14 @@
 """What must not grow faster than the tables: rows broadcast, shuffled and written."""
 
+import json
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lexspan.operators import gate, index
+from lexspan.operators import corpus, gate, index
+from lexspan.operators import store as store_module
+from lexspan.operators.store import Store
 from lexspan.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -42,3 +47,54 @@ def test_index_statistics_need_no_store(spark, monkeypatch):
 def test_texts_are_tokenised_once(spark):
     plan = index.fields(catalog._chunks(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("com.ibm.icu") == 2, "one for the text, one for the path, none for the empty heading"
+
+
+def test_texts_are_not_joined_for_sizes(spark):
+    df = catalog._docs(spark, DATA).select("doc_id", "size", "chars", "status")
+    joined = df._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter", 1)[1]
+    assert "length(text" in joined and "Filter" not in joined.split("length(text")[0]
+    top = df._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter", 1)[0]
+    assert "text" not in top
+
+
+def test_dealt_postings_are_sorted_without_a_shuffle(spark, tmp_path):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("same"), F.col("id"), F.col("id") % 7, F.lit("ｗｉｄｅ")).alias("text"), F.lit("a/b.txt").alias("rel"), F.lit("b.txt").alias("name"))
+    store = Store(spark, str(tmp_path / "s"), parts=4)
+    limit = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(limit)
+
+    def made(rows):
+        chunks = corpus.line_chunks(index.path_terms(rows), ["t_path"])
+        return index.postings(chunks)
+
+    dealt = store.dealt(docs, 3 * 4 * store_module.TASK_BYTES)
+    assert dealt.rdd.getNumPartitions() == 12
+    assert executed(made(dealt)).count("Exchange") == 1
+    staged = store.stage("postings", made(dealt), dealt=True)
+    assert spark.conf.get(limit) == before
+    files = sorted((tmp_path / "s").glob("postings/*/part=*/*.parquet"))
+    assert 4 <= len(files) <= 12, "a file for each task, as its documents are of one part"
+    for f in files:
+        rows = pq.ParquetFile(f).read().to_pylist()
+        assert rows == sorted(rows, key=lambda r: (r["term"].encode(), r["chunk_id"]))
+    other = store.stage("postings", made(docs))
+    want = sorted(map(tuple, store.staged(other).collect()))
+    assert sorted(map(tuple, store.staged(staged).collect())) == want
+    store.swap([staged])
+    for k in range(4):
+        ids = {r["doc_id"] for r in store.read("postings", {k}).collect()}
+        assert ids == {r["doc_id"] for r in docs.where(store.part() == k).collect()}
+
+
+def test_older_stores_keep_their_parts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), parts=4)
+    assert "xxhash64" not in str(store.part())
+    store.deal = "xxhash64"
+    store.write("docs", store.empty("docs"))
+    manifest = next((tmp_path / "s" / "manifest").glob("*.json"))
+    old = json.loads(manifest.read_text())
+    assert old.pop("deal") == "xxhash64"
+    manifest.write_text(json.dumps(old))
+    for crc in manifest.parent.glob(".*.crc"):
+        crc.unlink()
+    assert "xxhash64" in str(Store(spark, str(tmp_path / "s")).part())
