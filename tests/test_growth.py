@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lexspan.operators import corpus, gate, index
+from lexspan.operators import corpus, gate, index, search
 from lexspan.operators import store as store_module
 from lexspan.operators.store import Store
 from lexspan.plans import catalog
@@ -98,3 +98,22 @@ def test_older_stores_keep_their_parts(spark, tmp_path):
     for crc in manifest.parent.glob(".*.crc"):
         crc.unlink()
     assert "xxhash64" in str(Store(spark, str(tmp_path / "s")).part())
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_search"])
+def test_first_query_deals_documents_once(spark, monkeypatch, name):
+    monkeypatch.setattr(catalog, "_STORES", {})
+    plans = {}
+
+    def stage(self, table, df, *dealt, kept=Store.stage):
+        plans[table] = executed(df)
+        return kept(self, table, df, *dealt) if dealt and dealt[0] or table not in ("chunks", "postings") else pytest.fail(f"{table} are shuffled")
+
+    monkeypatch.setattr(Store, "stage", stage)
+    got = catalog.QUERIES[name](spark, DATA).collect()
+    assert all(plans[t].count("Exchange hashpartitioning") == 1 for t in ("chunks", "postings"))
+    if name == "bm25_topk":
+        want = catalog.QUERIES["bm25_scan"](spark, DATA)
+    else:
+        want = search.search(catalog._chunks(spark, DATA), catalog._PLAN).select("rank", "chunk_id", "doc_id", "rel", "score")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
