@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,32 @@ def test_first_query_deals_documents_once(spark, monkeypatch, name):
     else:
         want = search.search(catalog._chunks(spark, DATA), catalog._PLAN).select("rank", "chunk_id", "doc_id", "rel", "score")
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
+def test_sorted_postings_are_the_postings(spark, monkeypatch):
+    plain = [chr(c) for c in range(1, len(index.PLAIN)) if index.PLAIN[c] >= 0]
+    assert len(plain) > 600
+    odd = ["\x00a b", "ｗｉｄｅ Ⅳ", "a\u0301 e\u0308x", "İI ıi", "ΟΔΟΣ Σ", "追溯系统 GS1追溯", "𝔸 😀x", "x" * 64 + " " + "y" * 65, "É" * 64 + "-" + "É" * 65, "", " ", None, "ß ẞ Straße STRASSE", "b a B A a"]
+    texts = [*odd, *plain, *(f"aB{c}Cd{c} {c}" for c in plain), "".join(plain), "\n".join(plain), "the end\u0085", "end\n"]
+    rows = [(7 * i % 1009, i % 5, t, ["", "the b", "Überß 追溯", None][i % 4] if i % 9 == 0 else "", "src/the_b.txt", "the_b.txt") for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame([*rows, rows[-1]], "chunk_id long, doc_id long, text string, heading string, rel string, name string").coalesce(1)
+    want = sorted(map(tuple, index.postings(chunks).select("term", "chunk_id", "doc_id", "weight", "fields", "dl").collect()))
+    assert len(want) > 3000
+    got = [tuple(r) for r in index.sorted_postings(chunks).select("term", "chunk_id", "doc_id", "weight", "fields", "dl").collect()]
+    assert sorted(got) == want
+    assert [(t[0].encode(), t[1]) for t in got] == sorted((t[0].encode(), t[1]) for t in got), "one run, so all in order"
+    assert index.sorted_postings(chunks.limit(0)).count() == 0
+    schema = pa.schema({"chunk_id": pa.int64(), "doc_id": pa.int64()} | dict.fromkeys(["text", "t_text", "t_heading", "t_path"], pa.string()))
+    four = [{"chunk_id": i, "doc_id": i, "text": "b a" if i % 2 else None, "t_text": None if i % 2 else "c", "t_heading": "", "t_path": "a"} for i in range(4)]
+    small = pa.Table.from_pylist(four, schema).to_batches(max_chunksize=1)
+    monkeypatch.setattr(index, "RUN_BYTES", 1)
+    runs = [pa.Table.from_batches([b]).select(["term", "chunk_id", "weight", "dl"]).to_pylist() for b in index._runs(iter(small))]
+    assert [[tuple(r.values()) for r in run] for run in runs] == [[("a", 0, 1.5, 2), ("c", 0, 4.0, 2)], [("a", 1, 5.5, 3), ("b", 1, 4.0, 3)], [("a", 2, 1.5, 2), ("c", 2, 4.0, 2)], [("a", 3, 5.5, 3), ("b", 3, 4.0, 3)]]
+
+
+def test_stored_postings_are_made_without_explode(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "_STORES", {})
+    plans = {}
+    monkeypatch.setattr(Store, "stage", lambda self, table, df, *dealt, kept=Store.stage: (plans.__setitem__(table, executed(df)), kept(self, table, df, *dealt))[1])
+    catalog.QUERIES["bm25_topk"](spark, DATA)
+    assert "MapInArrow" in plans["postings"] and plans["postings"].count("Generate") == 1, "lines only"
